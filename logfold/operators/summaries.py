@@ -34,7 +34,8 @@ def _top_per_session(counts: DataFrame, k: int, *ties: str) -> DataFrame:
     with very many groups does not end up in one task.
     """
     window = Window.partitionBy(*SESSION).orderBy(F.desc("count"), *ties)
-    return counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    ranked = counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def error_summary(logs: DataFrame, device: str, session_id: int | None = None, k: int = TOP_ERRORS) -> DataFrame:

@@ -1,6 +1,14 @@
-"""Log lines derived from the test tables, for the registered queries and the bench."""
+"""Log lines and log records derived from the test tables, for registered queries and bench."""
+
+import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logfold.operators.ingest import ingest
+from logfold.sources.lines import read_lines
+from logfold.sources.logs import read_logs, write_logs
 
 PACKAGE = "com.example.app"
 
@@ -20,6 +28,8 @@ LATE = "ts + INTERVAL '1' DAY - CASE WHEN event_id % 11 = 0 THEN INTERVAL '2' HO
 SPARK_TS = f"date_format({LATE}, \"MM-dd HH':00:00.000'\")"
 DUCKDB_TS = f"strftime({LATE}, '%m-%d %H:00:00.000')"
 
+_written: dict[tuple[str, str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,3 +39,61 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as log lines: equal timestamps within an hour, every 11th line late."""
     sql = RAW_LINES.format(ts=SPARK_TS, events="{events}")
     return spark.sql(sql, events=table(spark, sf_dir, "events"))
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`, whole texts, as messages; a document in ten has no level and is no log line."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("device"),
+        F.col("doc_id").alias("seq"),
+        F.concat(
+            F.lit("05-01 10:00:00.000  "), F.col("doc_id").cast("string"), F.lit(" "), F.col("n_chars").cast("string"),
+            F.when(F.col("doc_id") % 10 == 0, " X ").otherwise(" I "), F.col("lang"), F.lit(" : "), F.col("text"),
+        ).alias("value"),
+    )
+
+
+def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as stored records of one device, ids by document."""
+    return table(spark, sf_dir, "documents").select(
+        F.lit("docs").alias("device"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("session_id"),
+        F.lit("05-01 10:00:00.000").alias("timestamp"), F.lit("I").alias("level"), F.col("lang").alias("tag"),
+        F.lit(1).cast("bigint").alias("pid"), F.lit(1).cast("bigint").alias("tid"), F.col("text").alias("message"),
+    )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach: in the cluster's checkpoint folder, if it names one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logfold-")
+    return f"{root}/{name}-{uuid4().hex}"
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = scratch(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of `event_lines`, ingested and stored once per application."""
+    path = _once(spark, sf_dir, "logs",
+                 lambda path: write_logs(ingest(event_lines(spark, sf_dir), PACKAGE), path, "errorifexists"))
+    return read_logs(spark, path)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """Write lines as a capture folder: files of a device in order of arrival."""
+    ordered = lines.repartitionByRange("device", "seq").sortWithinPartitions("device", "seq")
+    ordered.select("device", "value").write.mode("overwrite").partitionBy("device").text(path)
+
+
+def event_capture(spark: SparkSession, sf_dir: str) -> str:
+    """The folder with `event_lines` as captured text."""
+    return _once(spark, sf_dir, "capture", lambda path: write_text(event_lines(spark, sf_dir), path))
+
+
+def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_lines(spark, event_capture(spark, sf_dir))
