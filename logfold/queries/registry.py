@@ -13,12 +13,12 @@ from logfold.operators.summaries import (
     total_count,
 )
 from logfold.plans.scan import with_row_number
+from logfold.sources.lines import stream_lines
 from logfold.sources.tables import (
     DUCKDB_TS, PACKAGE, RAW_LINES, captured_lines, document_lines, document_logs, event_lines, event_logs, scratch, table,
     write_text,
 )
 from logfold.streaming.ingest import start_ingest, stored_logs
-from logfold.sources.lines import stream_lines
 
 LINE_COLUMNS = ["device", "seq", "ts", "level", "tag", "pid", "tid", "msg"]
 DEVICE = "dev1"
@@ -85,11 +85,6 @@ TARGETS = "targets AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', {s}, '{p}')
 ANCHORS = f"anchors AS (SELECT device, max(id) center_id FROM logs WHERE {ERRORS} GROUP BY device, session_id, tag, message)"
 
 
-def sessions_kept(n, source="logs"):
-    return (f"(SELECT * FROM {source} l WHERE (SELECT count(DISTINCT session_id) FROM {source} k "
-            f"WHERE k.device = l.device AND k.session_id > l.session_id) < {n})")
-
-
 def top_sessions(n):
     """Sessions kept: rank the distinct sessions of each device."""
     return (f"kept AS (SELECT l.* FROM logs l JOIN (SELECT device, session_id, row_number() OVER (PARTITION BY device "
@@ -129,16 +124,12 @@ def _stream(spark, sf):
     for part in range(STREAM_PARTS):
         # Handed over part by part, as a rotating capture would.
         chunk = lines.filter((F.col("seq") >= part * step) & (F.col("seq") < (part + 1) * step))
-        write_text(chunk, f"{folder}/part={part}")
-        query = start_ingest(stream_lines(spark, f"{folder}/part=*"), out, f"{out}/checkpoint", PACKAGE, availableNow=True)
+        write_text(chunk, folder)
+        query = start_ingest(stream_lines(spark, folder), out, f"{out}/checkpoint", PACKAGE, availableNow=True)
         query.awaitTermination()
     return stored_logs(spark, out)
 
 
-def _session_rows(logs):
-    return sessions(logs)
-
-
 # name: (query, SQL). A query without SQL has None.
 REGISTERED = {
     "read_lines": (
@@ -260,7 +251,7 @@ REGISTERED = {
         f'{LOGS_CTE} SELECT device, count(*) AS "rows" FROM logs GROUP BY device',
     ),
     "session_stats": (
-        lambda spark, sf: _session_rows(event_logs(spark, sf)),
+        lambda spark, sf: sessions(event_logs(spark, sf)),
         f"""{LOGS_CTE} SELECT device, session_id, min(id) first_id, max(id) last_id, arg_min("timestamp", id) first_time,
           arg_max("timestamp", id) last_time, count(*) AS "rows", count(*) FILTER (WHERE {ERRORS}) AS error_rows FROM logs GROUP BY device, session_id""",
     ),

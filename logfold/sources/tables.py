@@ -85,9 +85,9 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """Write lines as a capture folder: files of a device in order of arrival."""
+    """Add lines to a capture folder, as one batch of files in order of arrival."""
     ordered = lines.repartitionByRange("device", "seq").sortWithinPartitions("device", "seq")
-    ordered.select("device", "value").write.mode("overwrite").partitionBy("device").text(path)
+    ordered.select("device", "value").write.mode("append").partitionBy("device").text(path)
 
 
 def event_capture(spark: SparkSession, sf_dir: str) -> str:
