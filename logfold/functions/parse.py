@@ -45,24 +45,33 @@ def is_log_line(value: Column) -> Column:
     return _behind_timestamp(value).rlike(LINE)
 
 
+def _trim(text: Column) -> Column:
+    """Trim white space; the full set is searched only where an end is not plain ASCII."""
+    plain = F.trim(text)
+    ends = [F.ascii(plain), F.ascii(F.substring(plain, -1, 1))]
+    graphic = ends[0].between(33, 126) & ends[1].between(33, 126)
+    return F.when(graphic, plain).otherwise(F.btrim(plain, F.lit(WHITE_SPACE)))
+
+
 def with_fields(lines: DataFrame) -> DataFrame:
     """Add ts, level, tag, pid, tid, msg to rows whose ``value`` is a log line.
 
-    The header pattern runs once over the text; pid and tid are then read from
-    the short header, tag and message by position.
+    One pattern pass turns the header into "pid tid level"; everything else is
+    cut by position.
     """
     fields = {
         "ts": timestamp_of(F.col("value")),
-        "level": F.substring(F.rtrim("_head"), -1, 1),
-        "tag": F.btrim(F.substring_index("_body", TAG_END, 1), F.lit(WHITE_SPACE)),
-        "pid": to_long(F.regexp_extract("_head", HEADER, 1)),
-        "tid": to_long(F.regexp_extract("_head", HEADER, 2)),
+        "level": F.expr("substring(_rest, _tid_end + 1, 1)"),
+        "tag": _trim(F.substring_index("_body", TAG_END, 1)),
+        "pid": to_long(F.expr("substring(_rest, 1, _pid_end - 1)")),
+        "tid": to_long(F.expr("substring(_rest, _pid_end + 1, _tid_end - _pid_end - 1)")),
         "msg": F.expr(f"substring(_body, instr(_body, '{TAG_END}') + {len(TAG_END)})"),
     }
     return (
-        lines.withColumn("_rest", _behind_timestamp(F.col("value")))
-        .withColumn("_head", F.regexp_extract("_rest", HEADER, 0))
-        .withColumn("_body", F.expr("substring(_rest, length(_head) + 1)"))
+        lines.withColumn("_rest", F.regexp_replace(_behind_timestamp(F.col("value")), HEADER, "$1 $2 $3"))
+        .withColumn("_pid_end", F.instr("_rest", " "))
+        .withColumn("_tid_end", F.expr("locate(' ', _rest, _pid_end + 1)"))
+        .withColumn("_body", F.expr("substring(_rest, _tid_end + 2)"))
         .select(*lines.columns, *[column.alias(name) for name, column in fields.items()])
     )
 

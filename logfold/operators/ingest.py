@@ -86,7 +86,7 @@ def _timely(rows: DataFrame, state: IngestState | None, bits: int, package: str
 
     # max over (ts, seq), not ts alone: each branch then reads the same columns
     # of the spread rows, and the exchange is shared.
-    newest = [F.max(F.when(line, F.struct("ts", "seq")))["ts"].alias("ts")]
+    newest = [F.max(F.when(line, F.struct("ts", "seq")) if targets is not None else F.struct("ts", "seq"))["ts"].alias("ts")]
     kinds = {"ts": "max"}
     if targets is not None:
         newest.append(F.max_by("target", F.when(~line, F.col("seq"))).alias("target"))
@@ -108,7 +108,8 @@ def _timely(rows: DataFrame, state: IngestState | None, bits: int, package: str
     else:
         in_force = F.last("target", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("package", F.coalesce(in_force, "before_target", default))
-    kept = rows.filter(line & (F.col("_hi").isNull() | (F.col("ts") >= F.col("_hi"))))
+    timely = F.col("_hi").isNull() | (F.col("ts") >= F.col("_hi"))
+    kept = rows.filter(timely if targets is None else timely & line)
     return kept.drop("_hi", "before_ts", "before_target", "target", "_line")
 
 
@@ -128,19 +129,20 @@ def _runs(lines, package, targets, state, bits):
     """Accepted lines with their run inside the bucket, and one row of offsets per bucket."""
     rows = _timely(dedup_lines(log_lines(lines), state and state.seen), state, bits, package, targets)
     window = in_bucket(DEVICE, "seq")
-    key = F.struct(*KEY)
-    rows = (
-        rows.withColumn("restart", is_restart(F.col("tag"), F.col("msg"), F.col("package")))
-        .withColumn("_key", key)
-        .withColumn("_prev", F.lag("_key").over(window))
-        .withColumn("_starts", F.col("_prev").isNull() | F.col("restart") | (F.col("_key") != F.col("_prev")))
-        .withColumn("_run", F.sum(F.col("_starts").cast("bigint")).over(window))
-        .withColumn("_session", F.sum(F.col("restart").cast("bigint")).over(window))
-        .drop("_prev", "_starts", "package")
-    )
+    restart = is_restart(F.col("tag"), F.col("msg"), F.col("package"))
+    rows = rows.select("device", BUCKET, "seq", "msg", F.struct(*KEY).alias("_key"), restart.alias("restart"))
+    rows = rows.withColumns({
+        "_prev": F.lag("_key").over(window),
+        "_last": F.lead("seq").over(window).isNull(),
+        "_session": F.sum(F.col("restart").cast("bigint")).over(window),
+    })
+    opens = F.col("_prev").isNull() | F.col("restart") | (F.col("_key") != F.col("_prev"))
+    rows = rows.withColumn("_opens", opens).withColumn("_run", F.sum(F.col("_opens").cast("bigint")).over(window))
+    rows = rows.drop("_prev")
 
+    # A bucket is summed up by the lines of its first run and its last line.
     opening = F.when(F.col("_run") == 1, F.struct("seq", "msg"))
-    per_bucket = rows.groupBy("device", BUCKET).agg(
+    per_bucket = rows.filter((F.col("_run") == 1) | F.col("_last")).groupBy("device", BUCKET).agg(
         F.min_by(F.struct("_key", "restart"), "seq").alias("_first"),
         F.max_by("_key", "seq").alias("last"),
         F.max("_run").alias("runs"),
@@ -180,7 +182,7 @@ def sessionize(lines: DataFrame, package: str | None = None, targets: DataFrame
     offsets = seams.select("device", BUCKET, "joined", "session0", "id0")
     return attach(rows, offsets, DEVICE).select(
         "device", "seq", _record_id().alias("id"), (F.col("session0") + F.col("_session")).alias("session_id"),
-        "restart", *KEY, "msg",
+        "restart", "_key.*", "msg",
     )
 
 
@@ -197,12 +199,11 @@ def ingest(lines: DataFrame, package: str | None = None, targets: DataFrame | No
 
     part = F.struct(BUCKET, _text(F.col("opening")).alias("msg"))
     offsets = gather_tails(seams, DEVICE, ["session0", "id0"], part)
-    record = rows.groupBy("device", BUCKET, "_run").agg(
-        F.min("seq").alias("seq"),
-        F.max("_session").alias("_session"),
-        F.first("_key").alias("_key"),
-        _text(F.collect_list(F.struct("seq", "msg"))).alias("message"),
-    )
+    # Collected over a window, whose rows arrive in order, rather than by a hash
+    # aggregation that would meet a new group at nearly every row.
+    run = Window.partitionBy("device", BUCKET, "_run").orderBy("seq")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    record = rows.withColumn("message", F.array_join(F.collect_list("msg").over(whole), "\n")).filter("_opens")
     pieces = attach(record, offsets, DEVICE).filter(~(F.col("crossing") & (F.col("_run") == 1)))
     tail = F.when(F.col("_run") == F.col("runs"), _text(F.col("parts")))
     return pieces.select(
