@@ -1,17 +1,18 @@
-"""Stored log records: Parquet by device and session, ordered by id inside files."""
+"""Stored log records: Parquet by device, ordered by id inside files."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from logfold.schema import LOGS
 
-PARTITIONS = ["device", "session_id"]
+PARTITIONS = ["device"]
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Write records; a large session is cut by ranges of id, so no task holds all of it.
+    """Write records; a large device is cut by ranges of id, so no task holds all of it.
 
-    Sorted files keep the id statistics narrow, which lets context windows and
-    retention skip row groups.
+    Sessions grow with ids, so sorted files keep the statistics of both narrow:
+    a session, a context window and a retention cut each touch few row groups.
+    Sessions are not folders, since most are small and a device has many.
     """
     ordered = logs.select(LOGS.fieldNames()).repartitionByRange(*PARTITIONS, "id").sortWithinPartitions(*PARTITIONS, "id")
     ordered.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
