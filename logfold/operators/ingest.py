@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.parse import log_lines, timestamp_of, with_fields
 from logfold.plans.scan import BITS, BUCKET, attach, before, carry, gather_tails, in_bucket, not_null, spread, stitch
+from logfold.plans.size import little_text, small_side
 from logfold.schema import LOG_COLUMNS
 
 # What marks an app restart.
@@ -221,13 +222,15 @@ def ingest(lines: DataFrame, package: str | None = None, targets: DataFrame | No
 def merge_pieces(pieces: DataFrame) -> DataFrame:
     """Put the pieces of chained runs together into whole records (`schema.LOGS`).
 
-    Only pieces that continue a record are shuffled as such: at most one per
-    device, run and bucket. The records they belong to get the text appended.
+    Few records go on from one run into the next, so the text to append is
+    usually small enough, by a check of its size, to leave the records in place.
     """
-    more = pieces.filter("continues").groupBy("device", "id").agg(
+    continued = pieces.filter("continues")
+    more = continued.groupBy("device", "id").agg(
         _text(F.collect_list(F.struct("batch", "seq", F.col("message").alias("msg")))).alias("more")
     )
-    whole = pieces.filter(~F.col("continues")).join(more, ["device", "id"], "left")
+    small = little_text(continued, "message")
+    whole = pieces.filter(~F.col("continues")).join(small_side(more, small), ["device", "id"], "left")
     message = F.concat_ws("\n", "message", "more").alias("message")
     return whole.select(*[message if c == "message" else F.col(c) for c in LOG_COLUMNS])
 

@@ -61,13 +61,9 @@ def tag_summary_all(logs: DataFrame, k: int = TOP_TAGS) -> DataFrame:
 
 
 def sessions(logs: DataFrame) -> DataFrame:
-    """One row per session: first and last record, number of records and of errors.
-
-    Bounds and counts are one hash aggregation over narrow columns; timestamps
-    are looked up for the bounds alone.
-    """
+    """One row per session: first and last record, number of records and of errors."""
     error = F.col("level").isin(*ERROR_LEVELS)
-    bounds = logs.groupBy(*SESSION).agg(
+    return logs.groupBy(*SESSION).agg(
         F.min("id").alias("first_id"),
         F.max("id").alias("last_id"),
         F.min_by("timestamp", "id").alias("first_time"),
@@ -75,7 +71,6 @@ def sessions(logs: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.count(F.when(error, 1)).alias("error_rows"),
     )
-    return bounds
 
 
 def session_count(logs: DataFrame) -> DataFrame:
