@@ -87,7 +87,8 @@ def _timely(rows: DataFrame, state: IngestState | None, bits: int, package: str
 
     # max over (ts, seq), not ts alone: each branch then reads the same columns
     # of the spread rows, and the exchange is shared.
-    newest = [F.max(F.when(line, F.struct("ts", "seq")) if targets is not None else F.struct("ts", "seq"))["ts"].alias("ts")]
+    stamp = F.struct("ts", "seq") if targets is None else F.when(line, F.struct("ts", "seq"))
+    newest = [F.max(stamp)["ts"].alias("ts")]
     kinds = {"ts": "max"}
     if targets is not None:
         newest.append(F.max_by("target", F.when(~line, F.col("seq"))).alias("target"))

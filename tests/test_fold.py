@@ -64,3 +64,14 @@ def test_null_keys_and_values(spark):
 def test_no_keys(spark):
     df = spark.range(100).selectExpr("id", "id div 10 as v")
     assert fold_runs(df, [], "id", ["v"], bits=2).count() == 10
+
+
+def test_one_scan_and_one_wide_shuffle(spark, logs_frame, tmp_path):
+    logs_frame(rows_of(1, 50)).write.parquet(str(tmp_path / "logs"))
+    plan = fold_logs(spark.read.parquet(str(tmp_path / "logs")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
