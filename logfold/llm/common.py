@@ -54,6 +54,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def pinned(column: Column) -> Column:
+    """The same value, behind an expression that filters are not moved through.
+
+    A filter on the result of a long chain of steps would else be copied into each of them.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def beside(df: DataFrame, row: str, given: list[str], results: list[str]) -> DataFrame:
     """The fields of struct ``row`` and the results; a given column with the name of a result gives way."""
     taken = {c.lower() for c in results}

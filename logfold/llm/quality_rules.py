@@ -9,7 +9,7 @@ All of it is column expressions over one row.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import SPACE, WORD, beside, text_of
+from logfold.llm.common import SPACE, WORD, beside, pinned, text_of
 
 # Fixed values of the base rules.
 LEAST_WORDS, REPEAT_PERCENT, GRAM = 10, 20, 5
@@ -99,5 +99,5 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None =
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.char_length("clean_text") >= LEAST_KEPT * F.char_length("_t")))
+    rows = rows.withColumn("kept", pinned(~F.col("base_failed") & (F.char_length("clean_text") >= LEAST_KEPT * F.char_length("_t"))))
     return beside(rows, "row", given, RESULTS)

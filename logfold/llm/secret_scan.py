@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import beside, text_of
+from logfold.llm.common import beside, pinned, text_of
 
 # Patterns and least lengths of the kinds, in order of rank.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         _kind(kept("access", lambda m: F.char_length(m) >= ACCESS_LEAST), 1, "access"),
         _kind(F.col("_hex_at"), 2, "hex"),
     ))
-    rows = rows.withColumn("base", base)
+    rows = rows.withColumn("base", pinned(base))
 
     bound = lambda c: F.when(c.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(MIXED_BITS)
     high = F.flatten(F.transform(
@@ -156,7 +156,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     ))
     rows = rows.withColumn("_high", F.when(F.size("_cand_at") == 0, empty).otherwise(high))
     apart = F.filter("_high", lambda h: ~F.exists("base", lambda b: (h["s"] < b["e"]) & (b["s"] < h["e"])))
-    rows = rows.withColumn("found", F.sort_array(F.concat("base", _kind(apart, 3, "entropy"))))
+    rows = rows.withColumn("found", pinned(F.sort_array(F.concat("base", _kind(apart, 3, "entropy")))))
     return beside(rows, "row", given, ["base", "found"])
 
 
