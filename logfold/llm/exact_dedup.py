@@ -1,8 +1,10 @@
 """Exact duplicates by sorting contents.
 
-Splitters that Spark samples from the texts cut their order into ranges, the external sort of
-each range puts equal texts side by side, and the window over the sorted rows compares every
-text in full with its neighbour. Of equal texts the row with the largest id stays.
+Splitters that Spark samples cut the order of the texts into ranges, the external sort of each range
+puts equal texts side by side, and the window over the sorted rows compares every text in full with its
+neighbour. Of equal texts the row with the largest id stays. The order is that of the first LEAD
+characters, then of a hash, then of the whole text: what is sampled has a fixed size, and many texts
+that begin alike still spread over ranges.
 
 A text with more copies than a range should hold is cut into slices, so that its copies spread
 over ranges; its size and largest id come from sums that are built before any shuffle.
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logfold.llm.common import beside, hot_groups, lower_ascii, partitions, text_of
 
+LEAD = 32
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -34,8 +37,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry:
     rows = rows.join(F.broadcast(hot), "text_sha256", "left").withColumn(
         "_slice", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int"))
     )
-    ranges = rows.repartitionByRange("_norm", "_slice")
-    equal = Window.partitionBy("_norm", "_slice")
+    rows = rows.withColumns({"_lead": F.substring("_norm", 1, LEAD), "_hash": F.xxhash64("_norm")})
+    ranges = rows.repartitionByRange("_lead", "_hash", "_slice")
+    equal = Window.partitionBy("_lead", "_hash", "_slice", "_norm")
     newest = equal.orderBy(F.desc("_id"))
     whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = ranges.select(
