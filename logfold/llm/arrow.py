@@ -18,3 +18,10 @@ def pieces(batches, column: str, limit: int = PIECE_BYTES):
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def rows_of(batches):
+    """Rows as dicts, one at a time, for rows that are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]

@@ -18,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.arrow import pieces
+from logfold.llm.arrow import pieces, rows_of
 from logfold.llm.common import join_groups, text_of
 from logfold.llm.pretokens import Pieces
 
 WINDOW, MEAN_BITS = 24, 10
 LEAST, MOST = 128, 8192
 CORE_LEAST = 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PACKED = "block bigint, texts binary, ids binary, cores array<struct<doc:int,start:int,end:int,digest:binary>>"
 CORE = pa.struct([("doc", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
 
@@ -111,13 +111,12 @@ def _references(batches):
 def _encoded_cores(path: str):
     def run(batches):
         vocabulary = Pieces(path)
-        for batch in batches:
-            # A left join and a filter here, since an inner join would filter below the shared exchange.
-            for row in batch.filter(pa.compute.is_valid(batch.column("wanted"))).to_pylist():
-                texts, wanted = _unpack_texts(row["texts"]), [row["cores"][p] for p in row["wanted"]]
-                ids = vocabulary.encode([texts[c["doc"]][c["start"]:c["end"]] for c in wanted])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c["digest"] for c in wanted], pa.binary()), pa.array(ids, pa.binary())], ["digest", "core_ids"])
+        # A left join and a filter here, since an inner join would filter below the shared exchange.
+        for row in rows_of(b.filter(pa.compute.is_valid(b.column("wanted"))) for b in batches):
+            texts, wanted = _unpack_texts(row["texts"]), [row["cores"][p] for p in row["wanted"]]
+            ids = vocabulary.encode([texts[c["doc"]][c["start"]:c["end"]] for c in wanted])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c["digest"] for c in wanted], pa.binary()), pa.array(ids, pa.binary())], ["digest", "core_ids"])
 
     return run
 
@@ -141,19 +140,18 @@ def stitched(texts: list[str], shared: list[list[tuple[int, int, bytes]]], vocab
 def _assembled(path: str):
     def run(batches):
         vocabulary = Pieces(path)
-        for batch in batches:
-            for row in batch.to_pylist():
-                texts, numbers = _unpack_texts(row["texts"]), np.frombuffer(row["ids"], "<i8")
-                shared = [[] for _ in texts]
-                for s in sorted(row["shared"] or [], key=lambda s: s["place"]):
-                    c = row["cores"][s["place"]]
-                    shared[c["doc"]].append((c["start"], c["end"], s["core_ids"]))
-                ids = stitched(texts, shared, vocabulary)
-                wide = [i if vocabulary.type.itemsize == 4 else np.frombuffer(i, "<u2").astype("<u4").tobytes() for i in ids]
-                step = max(1, len(texts) // 8)
-                for k in range(0, len(texts), step):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[k:k + step]), pa.array(wide[k:k + step], pa.binary())], ["_id", "ids"])
+        for row in rows_of(batches):
+            texts, numbers = _unpack_texts(row["texts"]), np.frombuffer(row["ids"], "<i8")
+            shared = [[] for _ in texts]
+            for s in sorted(row["shared"] or [], key=lambda s: s["place"]):
+                c = row["cores"][s["place"]]
+                shared[c["doc"]].append((c["start"], c["end"], s["core_ids"]))
+            ids = stitched(texts, shared, vocabulary)
+            wide = [i if vocabulary.type.itemsize == 4 else np.frombuffer(i, "<u2").astype("<u4").tobytes() for i in ids]
+            step = max(1, len(texts) // 8)
+            for k in range(0, len(texts), step):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[k:k + step]), pa.array(wide[k:k + step], pa.binary())], ["_id", "ids"])
 
     return run
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The same for texts without numerals other than digits and without separators that only Python calls white space.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
-CACHED = 500_000
+CACHED = 100_000
 
 _plain, _any = re.compile(PLAIN), regex.compile(PATTERN)
 _known: dict[str, bool] = {}
@@ -31,18 +31,14 @@ def _is_plain(c: str) -> bool:
     return _known[c]
 
 
-class Pieces:
-    """A vocabulary file of the tokenizers library, with byte-level pre-tokens."""
+class Splitter:
+    """Cuts text into pre-tokens and special tokens; needs no vocabulary in memory."""
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        cut = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
+    def __init__(self, special: list[str]):
+        cut = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
         self._special = re.compile(f"({cut})") if cut else None
-        self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self._ids: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
+    def __call__(self, text: str) -> list[str]:
         """Pre-tokens and special tokens in order; together they are the text."""
         pattern = _plain if all(map(_is_plain, set(text))) else _any
         if self._special is None or not self._special.search(text):
@@ -52,9 +48,26 @@ class Pieces:
             out += [part] if i % 2 else pattern.findall(part)
         return out
 
+
+class Pieces:
+    """A vocabulary file of the tokenizers library, with byte-level pre-tokens."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = Splitter(list(self.special))
+        self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._ids: dict[str, bytes] = {}
+
+    def _encoded(self, pieces: list[str]):
+        # The library's result for a piece is large; few are held at once.
+        for k in range(0, len(pieces), 2_000):
+            for e in self.tokenizer.encode_batch(pieces[k:k + 2_000], add_special_tokens=False):
+                yield e.ids
+
     def counts(self, pieces: list[str]) -> list[int]:
         """How many tokens each piece gives."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [len(ids) for ids in self._encoded(pieces)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``type``."""
@@ -62,8 +75,8 @@ class Pieces:
             self._ids.clear()
         split = [self.split(t) for t in texts]
         new = list(set().union(*split).difference(self._ids)) if split else []
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self._ids[piece] = np.array(e.ids, self.type).tobytes()
+        for piece, found in zip(new, self._encoded(new)):
+            self._ids[piece] = np.array(found, self.type).tobytes()
         ids = self._ids
         return [b"".join([ids[p] for p in pieces]) for pieces in split]
 

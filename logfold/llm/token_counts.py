@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.arrow import pieces
+from logfold.llm.arrow import pieces, rows_of
 from logfold.llm.common import text_of
-from logfold.llm.pretokens import Pieces
+from logfold.llm.pretokens import Pieces, Splitter
 
 LIMIT = 1024
 BLOCK_BYTES = 12 << 20
@@ -34,9 +34,8 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-def _blocks(path: str):
+def _blocks(split: Splitter):
     def run(batches):
-        split = Pieces(path).split
         first = TaskContext.get().partitionId() << 32
         for n, batch in enumerate(pieces(batches, "_text", BLOCK_BYTES)):
             index: dict[str, int] = {}
@@ -118,18 +117,17 @@ def _counted(path: str):
 
 
 def _summed(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, lengths, sizes = _unpack(row["ids"], "<i8"), _unpack(row["bytes"], "<i8"), _unpack(row["sizes"], "<u4")
-            places, times = _unpack(row["places"], "<u4"), _unpack(row["times"], "<u4")
-            counts = np.zeros(int(places.max(initial=0)) + 1, np.int64)
-            for part in row["counted"] or []:
-                counts[_unpack(part["counted"], "<u4")] = _unpack(part["counts"], "<u4")
-            total = np.concatenate([[0], np.cumsum(counts[places] * times)])
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(lengths), pa.array(total[ends] - total[ends - sizes], pa.int64())],
-                ["_id", "n_bytes", "n_tokens"])
+    for row in rows_of(batches):
+        ids, lengths, sizes = _unpack(row["ids"], "<i8"), _unpack(row["bytes"], "<i8"), _unpack(row["sizes"], "<u4")
+        places, times = _unpack(row["places"], "<u4"), _unpack(row["times"], "<u4")
+        counts = np.zeros(int(places.max(initial=0)) + 1, np.int64)
+        for part in row["counted"] or []:
+            counts[_unpack(part["counted"], "<u4")] = _unpack(part["counts"], "<u4")
+        total = np.concatenate([[0], np.cumsum(counts[places] * times)])
+        ends = np.cumsum(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(lengths), pa.array(total[ends] - total[ends - sizes], pa.int64())],
+            ["_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -142,7 +140,7 @@ def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     null = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(null)).alias("_id"), text_of(text).alias("_text"))
     # Both uses read all columns, so that they share one exchange and the texts are split once.
-    packed = source.mapInArrow(_blocks(path), PACKED).repartition("block")
+    packed = source.mapInArrow(_blocks(Pieces(path).split), PACKED).repartition("block")
     entries = packed.mapInArrow(_entries, "piece binary, block bigint, place int")
     ordered = entries.repartition("piece").sortWithinPartitions("piece")
     counted = ordered.mapInArrow(_counted(path), "block bigint, counted binary, counts binary")
