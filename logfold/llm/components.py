@@ -23,9 +23,9 @@ def _jumped(links: DataFrame) -> DataFrame:
 def _renamed(rows: DataFrame, links: DataFrame, column: str, by: str) -> DataFrame:
     """``column`` replaced by its root where it has one."""
     sizes = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    heads = sizes.join(links.select(F.col("node").alias(column), "parent"), column)
+    heads = sizes.join(links.select(F.col("node").alias(column), F.col("parent").alias("_root")), column)
     joined = join_groups(rows, heads, column, by, sizes=sizes)
-    return joined.withColumn(column, F.coalesce("parent", column)).drop("parent", "_n")
+    return joined.withColumn(column, F.coalesce("_root", column)).drop("_root", "_n")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     known = None
     while True:
         links = _jumped(stored(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), "hooks"))
-        known = links if known is None else _renamed(known, links, "parent", "node").unionByName(links)
+        known = links if known is None else stored(_renamed(known, links, "parent", "node").unionByName(links), "known")
         moved = _renamed(_renamed(edges, links, "hi", "lo"), links, "lo", "hi").filter("lo <> hi")
         edges = stored(moved.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
         if edges.isEmpty():
