@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces, rows_of
-from logfold.llm.common import join_groups, text_of
+from logfold.llm.common import join_groups, small_batches, text_of
 from logfold.llm.pretokens import Pieces
 
 WINDOW, MEAN_BITS = 24, 10
@@ -163,6 +163,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     has no ids. Ids of rows are whole numbers and only carried: repeated rows stay, a null stays null.
     Other columns are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     null = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(null)).alias("_id"), text_of(text).alias("_text"))
     # Every use reads all columns, so that they share one exchange and the texts are cut once.

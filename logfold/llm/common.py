@@ -14,11 +14,22 @@ WORD = f"[^{SPACE}]+"
 # so there are fewer than HOT_SHARE * partitions hot groups, whatever the input.
 HOT_SHARE = 4
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of BATCH_ROWS rows and BATCH_BYTES, unless the session has its own numbers."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now == usual or (usual is None and now is not None and int(str(now).rstrip("bB")) > BATCH_BYTES):
+            spark.conf.set(name, value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

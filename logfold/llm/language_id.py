@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces
-from logfold.llm.common import text_of
+from logfold.llm.common import small_batches, text_of
 
 SAMPLE_ROWS = 8_000
 # Letters of a sampled text that are counted.
@@ -213,6 +213,7 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
                 batch.column("_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(numbers, pa.int64()),
             ], ["_id", "lang_pred", "score", "n_spans"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("bigint").alias("_id"), text_of(text).alias("_text"))
     out = source.mapInArrow(run, "_id bigint, lang_pred string, score double, n_spans bigint")
     return out.withColumnRenamed("_id", id)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from logfold.llm import shingles
 from logfold.llm.arrow import pieces
-from logfold.llm.common import beside, join_groups, stored, text_of
+from logfold.llm.common import beside, join_groups, small_batches, stored, text_of
 from logfold.llm.components import connected_components
 
 SIMILARITY_PERCENT = 85
@@ -120,6 +120,7 @@ def _few_pairs(rows: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(_id, n_shingles, component_id) of every row with an id."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("bigint").alias("_id"), text_of(text).alias("_text")).filter("_id is not null")
     signed = stored(source.mapInArrow(_signed, "_id bigint, words binary, n_shingles bigint, signature binary"), "signed")
     groups = signed.filter("words is not null").groupBy("words").agg(

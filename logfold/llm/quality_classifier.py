@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces
-from logfold.llm.common import stored, text_of
+from logfold.llm.common import small_batches, stored, text_of
 
 FEATURES = [
     "log_words", "word_length", "upper", "symbols", "shouts", "digits", "bars", "ends", "distinct", "repeats", "lines", "commas", "other",
@@ -52,6 +52,7 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             rows = np.array([statistics(t) for t in batch.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, np.ascontiguousarray(rows.T))], ["_id", *FEATURES])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("bigint").alias("_id"), text_of(text).alias("_text"))
     return source.mapInArrow(run, "_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces, rows_of
-from logfold.llm.common import text_of
+from logfold.llm.common import small_batches, text_of
 from logfold.llm.pretokens import Pieces, Splitter
 
 LIMIT = 1024
@@ -137,6 +137,7 @@ def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     and has no tokens. Ids are whole numbers and are only carried: repeated rows stay, and a null id gives
     a null. Other columns are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     null = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(null)).alias("_id"), text_of(text).alias("_text"))
     # Both uses read all columns, so that they share one exchange and the texts are split once.
