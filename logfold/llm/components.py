@@ -3,29 +3,27 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import join_groups, stored
+from logfold.llm.common import stored
 
 
 def _jumped(links: DataFrame) -> DataFrame:
-    """Parents replaced by roots (columns node, parent); paths halve in every pass."""
+    """Parents replaced by roots (columns node, parent); paths halve in every pass.
+
+    A parent of very many nodes is a skewed key of a shuffle join, which adaptive execution splits.
+    """
     while True:
-        sizes = links.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
-        heads = sizes.join(
-            links.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent")
-        jumped = join_groups(links, heads, "parent", "node", sizes=sizes).select(
-            "node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
-        jumped = stored(jumped, "jump")
+        heads = links.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+        jumped = stored(links.join(heads, "parent", "left").select(
+            "node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "jump")
         links = jumped.select("node", "parent")
         if jumped.filter("moved").isEmpty():
             return links
 
 
-def _renamed(rows: DataFrame, links: DataFrame, column: str, by: str) -> DataFrame:
+def _renamed(rows: DataFrame, links: DataFrame, column: str) -> DataFrame:
     """``column`` replaced by its root where it has one."""
-    sizes = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    heads = sizes.join(links.select(F.col("node").alias(column), F.col("parent").alias("_root")), column)
-    joined = join_groups(rows, heads, column, by, sizes=sizes)
-    return joined.withColumn(column, F.coalesce("_root", column)).drop("_root", "_n")
+    roots = links.select(F.col("node").alias(column), F.col("parent").alias("_root"))
+    return rows.join(roots, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,10 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     edges = stored(edges.filter("a is not null and b is not null and a <> b").select(lo.alias("lo"), hi.alias("hi")).distinct(), "edges")
     known = None
-    while True:
+    while known is None or not edges.isEmpty():
         links = _jumped(stored(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), "hooks"))
-        known = links if known is None else stored(_renamed(known, links, "parent", "node").unionByName(links), "known")
-        moved = _renamed(_renamed(edges, links, "hi", "lo"), links, "lo", "hi").filter("lo <> hi")
+        known = links if known is None else stored(_renamed(known, links, "parent").unionByName(links), "known")
+        moved = _renamed(_renamed(edges, links, "hi"), links, "lo").filter("lo <> hi")
         edges = stored(moved.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
-        if edges.isEmpty():
-            return stored(known.select("node", F.col("parent").alias("component")), "components")
+    return known.select("node", F.col("parent").alias("component"))

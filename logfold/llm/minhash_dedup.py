@@ -10,15 +10,17 @@ within that distance meet under a key, and they are confirmed on their full sets
 
 Texts with equal word sequences have equal sets and are first made one class. A key is worked off in
 rounds that never list its pairs: its smallest class is compared with all others, and what is linked
-becomes one component; then the smallest goes, and with it every key whose classes are one component.
-Keys with FEW classes left at most are finished at once.
+becomes one component. Then the smallest goes, and with it every key whose classes are one component. Later
+rounds take the LEADERS smallest of a key, and compare them with classes of other components only. A round's
+rows are LEADERS times those of the keys at most, and the rounds end when every class has been compared
+with all others of its keys that are not of its component.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.llm import shingles
@@ -28,7 +30,8 @@ from logfold.llm.components import connected_components
 
 SIMILARITY_PERCENT = 85
 SYMBOLS_APART = 11
-FEW = 24
+# Classes of a key that are compared with all others in a round; one in the first, which settles most keys.
+LEADERS = 64
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -90,32 +93,39 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(read.mapInArrow(_confirmed, "a bigint, b bigint"), "links")
 
 
-def _components_of(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+def _components_of(rows: DataFrame, components: DataFrame | None, column: str = "class_id") -> DataFrame:
     """Rows with the component of their class, itself if it has no links."""
     if components is None:
-        return rows.withColumn("component", F.col("class_id"))
-    joined = rows.join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return joined.withColumn("component", F.coalesce("component", "class_id"))
+        return rows.withColumn("component", F.col(column))
+    joined = rows.join(components.withColumnRenamed("node", column), column, "left")
+    return joined.withColumn("component", F.coalesce("component", column))
 
 
 def _open_keys(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(key, class_id, component, n, least) of the keys whose classes are not one component yet."""
+    """(key, class_id, component, _n) of the keys whose classes are not one component yet."""
     rows = _components_of(rows.select("key", "class_id"), components)
     keys = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("class_id").alias("least"),
-        F.min("component").alias("_lo"), F.max("component").alias("_hi"),
-    ).filter("_lo <> _hi").drop("_lo", "_hi")
+        F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"),
+    ).filter("_lo <> _hi").select("key", "_n")
     return stored(join_groups(rows, keys, "key", "class_id", "inner"), "keys")
 
 
-def _few_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs from different components under keys with FEW classes at most."""
-    groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class_id", "component"))).alias("g"))
-    pairs = groups.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(
-        F.filter(F.slice("g", i + 2, FEW), lambda y: y["component"] != x["component"]),
-        lambda y: F.struct(x["class_id"].alias("a"), y["class_id"].alias("b")),
-    )))).alias("p"))
-    return pairs.select("p.*").distinct()
+def _with_leaders(rows: DataFrame, leaders: int) -> DataFrame:
+    """Rows with ``first``: the smallest classes of their key, so many at most, and their components."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("class_id"))
+    few = rows.withColumn("_place", place).filter(F.col("_place") <= leaders)
+    groups = few.groupBy("key").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "component"))).alias("first"))
+    return stored(join_groups(rows.drop("_n"), groups, "key", "class_id", "inner"), "led")
+
+
+def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: those of the components that the links join, and what follows for their members."""
+    if components is None:
+        return connected_components(links)
+    ends = _components_of(_components_of(links, components, "a").select(F.col("component").alias("a"), "b"), components, "b")
+    top = connected_components(ends.select("a", F.col("component").alias("b")))
+    moved = _components_of(components.select("node", F.col("component").alias("was")), top, "was").select("node", "component")
+    return stored(moved.unionByName(top.join(components, "node", "left_anti")), "components")
 
 
 def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -131,14 +141,16 @@ def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
     known = rows.select("class_id").distinct()
     texts = stored(source.withColumnRenamed("_id", "class_id").join(known, "class_id", "left_semi")
                    .select("class_id", F.col("_text").alias("text")), "texts")
-    links, components = None, None
+    components, leaders = None, 1
     while not rows.isEmpty():
-        many = rows.filter(F.col("_n") > FEW)
-        stars = many.filter("class_id <> least").select(F.col("least").alias("a"), F.col("class_id").alias("b"))
-        found = _links(stars.unionByName(_few_pairs(rows.filter(F.col("_n") <= FEW))).distinct(), classes, texts)
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
-        rows = _open_keys(many.filter("class_id <> least"), components)
+        led = _with_leaders(rows, leaders)
+        pairs = led.select("class_id", "component", F.explode("first").alias("f")).filter(
+            "f.component <> component and (f.class_id < class_id)")
+        found = _links(pairs.select(F.col("f.class_id").alias("a"), F.col("class_id").alias("b")).distinct(), classes, texts)
+        components = _joined(components, found)
+        last = F.element_at("first", -1)["class_id"]
+        rows = _open_keys(led.filter(F.col("class_id") > last), components)
+        leaders = LEADERS
 
     known = join_groups(signed, classes.select("words", "_n", "class_id"), "words", "_id")
     found = _components_of(known.withColumn("class_id", F.coalesce("class_id", "_id")), components)

@@ -4,6 +4,7 @@ The library itself encodes the pieces. Strings of special tokens are cut out fir
 the library does by default.
 """
 
+import os
 import re
 import unicodedata
 
@@ -53,6 +54,8 @@ class Pieces:
     """A vocabulary file of the tokenizers library, with byte-level pre-tokens."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library would also keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = Splitter(list(self.special))
