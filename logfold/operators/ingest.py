@@ -201,11 +201,11 @@ def ingest(lines: DataFrame, package: str | None = None, targets: DataFrame | No
 
     part = F.struct(BUCKET, _text(F.col("opening")).alias("msg"))
     offsets = gather_tails(seams, DEVICE, ["session0", "id0"], part)
-    # Collected over a window, whose rows arrive in order, rather than by a hash
-    # aggregation that would meet a new group at nearly every row.
-    run = Window.partitionBy("device", BUCKET, "_run").orderBy("seq")
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    record = rows.withColumn("message", F.array_join(F.collect_list("msg").over(whole), "\n")).filter("_opens")
+    # The rows are dealt out by bucket already, so this needs no shuffle and is linear in a run's lines.
+    opening = F.struct("seq", "_key", "_session")
+    record = rows.groupBy("device", BUCKET, "_run").agg(
+        F.min_by(opening, "seq").alias("_open"), _text(F.collect_list(F.struct("seq", "msg"))).alias("message"),
+    ).select("device", BUCKET, "_run", "_open.*", "message")
     pieces = attach(record, offsets, DEVICE).filter(~(F.col("crossing") & (F.col("_run") == 1)))
     tail = F.when(F.col("_run") == F.col("runs"), _text(F.col("parts")))
     return pieces.select(

@@ -4,11 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions.text import ascii_contains
-from logfold.operators.fold import fold_entries
+from logfold.operators.fold import fold_logs
 
 DEFAULT_LIMIT = 25
-RAW_PER_RUN = 20
-RAW_CAP = 1000
 CONTEXT_LINES = 15
 
 
@@ -29,9 +27,9 @@ def newest(logs: DataFrame, limit: int) -> DataFrame:
 
 
 def _newest_folded(logs: DataFrame, limit: int) -> DataFrame:
-    """Fold the newest records: a fixed number is read per run wanted, up to a cap."""
-    raw = min(limit * RAW_PER_RUN, RAW_CAP)
-    return fold_entries(newest(logs, max(raw, 0)), limit)
+    """Fold all records given, then keep the newest runs; a negative limit keeps all."""
+    ordered = fold_logs(logs).orderBy(F.desc("end_id"))
+    return ordered if limit < 0 else ordered.limit(limit)
 
 
 def matching(logs: DataFrame, level: str = "", tag: str = "", query: str = "") -> DataFrame:

@@ -4,17 +4,19 @@
 The functions named ``*_report`` answer one question of one device with a one-row frame.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logfold.functions.text import clock, first_line, indent_trace, trace
 from logfold.operators.lookup import CONTEXT_LINES, DEFAULT_LIMIT, log_context, query_logs, search_logs
 from logfold.operators.retention import RetentionPolicy
-from logfold.operators.summaries import error_summary, status, tag_summary
+from logfold.operators.summaries import TOP_ERRORS, TOP_TAGS, error_summary, status, tag_summary
 from logfold.plans.scan import BITS, with_previous
+from logfold.streaming.ingest import clear
 
-MAX_LIMIT = 50
+# Rows that one page may hold; longer listings are frames of `render_entries` or `render_folded`.
+PAGE_ROWS = 10_000
 
 # Headings, notes and the texts for empty results.
 ERROR_HEADING = "### Error Summary (Current Session)\n"
@@ -26,6 +28,7 @@ NO_LOGS = "No logs found matching criteria in the current session."
 NO_MATCH = "No logs found matching the query."
 NO_CONTEXT = "Log entry not found."
 CAPPED = "\n*Note: Output capped at the most recent results. Use a more specific query if needed.*"
+CLEARED = "All logs have been cleared successfully (DB and Device)."
 ACTIVE = "🟢 Active"
 INACTIVE = "🔴 Inactive"
 
@@ -84,46 +87,59 @@ def render_folded(df: DataFrame, position: str = "_age", limited: bool = False,
     return df.withColumn("text", text).drop("_header", "prev")
 
 
-def _page(rows: DataFrame, order: list[Column | str], empty: str, before: str = "", after: str = "") -> DataFrame:
-    """The text of a limited result as one row, or the text for an empty one."""
+def _bounded(rows: int) -> int:
+    if not 0 <= rows <= PAGE_ROWS:
+        raise ValueError(f"a page holds 0 to {PAGE_ROWS} rows; use render_entries or render_folded for more")
+    return rows
+
+
+def _page(rows: DataFrame, order: list[Column | str], empty: str, before: str = "", limit: int | None = None) -> DataFrame:
+    """The text of a limited result as one row, or the text for an empty one.
+
+    With ``limit``, rows beyond it are left out and a note says so.
+    """
     parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
-    body = F.array_join(F.transform(parts, lambda p: p["text"]), "")
-    page = F.when(body == "", empty).otherwise(F.concat(F.lit(before), body, F.lit(after)))
+    shown = parts if limit is None else F.slice(parts, 1, limit)
+    body = F.array_join(F.transform(shown, lambda p: p["text"]), "")
+    after = F.lit("") if limit is None else F.when(F.size(parts) > limit, CAPPED).otherwise("")
+    page = F.when(body == "", empty).otherwise(F.concat(F.lit(before), body, after))
     return rows.agg(page.alias("text"))
 
 
-def error_report(logs: DataFrame, device: str, session_id: int | None = None) -> DataFrame:
-    rows = error_summary(logs, device, session_id)
+def error_report(logs: DataFrame, device: str, session_id: int | None = None, k: int = TOP_ERRORS) -> DataFrame:
+    rows = error_summary(logs, device, session_id, _bounded(k))
     text = F.format_string("- [%d] **%dx** [%s] %s\n", "last_id", "count", "tag", "message")
     order = [(-F.col("count")).alias("_o"), "tag", "message"]
     return _page(rows.withColumn("text", text), order, NO_ERRORS, ERROR_HEADING)
 
 
-def tag_report(logs: DataFrame, device: str, session_id: int | None = None) -> DataFrame:
-    rows = tag_summary(logs, device, session_id)
+def tag_report(logs: DataFrame, device: str, session_id: int | None = None, k: int = TOP_TAGS) -> DataFrame:
+    rows = tag_summary(logs, device, session_id, _bounded(k))
     text = F.format_string("- **%d** %s\n", "count", "tag")
     return _page(rows.withColumn("text", text), [(-F.col("count")).alias("_o"), "tag"], NO_TAGS, TAG_HEADING)
 
 
-def _listing(rows: DataFrame, fold: bool, empty: str, after: str = "") -> DataFrame:
+def _listing(rows: DataFrame, fold: bool, empty: str, limit: int | None = None) -> DataFrame:
     if fold:
-        return _page(render_folded(rows, limited=True), ["_age"], empty, after=after)
+        return _page(render_folded(rows, limited=True), ["_age"], empty, limit=limit)
     aged = rows.withColumn("_age", -F.col("id"))
-    return _page(render_entries(aged, "_age", limited=True), ["_age"], empty, after=after)
+    return _page(render_entries(aged, "_age", limited=True), ["_age"], empty, limit=limit)
 
 
 def query_report(logs: DataFrame, device: str, session_id: int | None = None, level: str = "", tag: str = "",
                  limit: int = DEFAULT_LIMIT, fold: bool = True) -> DataFrame:
-    return _listing(query_logs(logs, device, session_id, level, tag, min(limit, MAX_LIMIT), fold), fold, NO_LOGS)
+    return _listing(query_logs(logs, device, session_id, level, tag, _bounded(limit), fold), fold, NO_LOGS)
 
 
 def search_report(logs: DataFrame, device: str, query: str, limit: int = DEFAULT_LIMIT, fold: bool = True) -> DataFrame:
-    return _listing(search_logs(logs, device, query, min(limit, MAX_LIMIT), fold), fold, NO_MATCH, CAPPED)
+    """The newest hits; one more is looked for, to tell whether some were left out."""
+    return _listing(search_logs(logs, device, query, _bounded(limit) + 1, fold), fold, NO_MATCH, limit)
 
 
 def context_report(logs: DataFrame, device: str, log_id: int, lines: int = CONTEXT_LINES) -> DataFrame:
     if log_id == 0:
         raise ValueError("Invalid log_id")
+    _bounded(2 * lines + 1)
     rows = log_context(logs, device, log_id, lines)
     return _page(render_entries(rows, "id", F.lit(log_id), limited=True), ["id"], NO_CONTEXT)
 
@@ -139,6 +155,12 @@ def status_report(logs: DataFrame, device: str, package: str | None = None, quer
     return row.select(text.alias("text"))
 
 
+def clear_report(spark: SparkSession, out: str, batch: int, new_out: str) -> str:
+    """Clear stored records (`streaming.ingest.clear`) and say so."""
+    clear(spark, out, batch, new_out)
+    return CLEARED
+
+
 def target_report(package: str) -> str:
     """Check a target package and say what follows."""
     if not package:

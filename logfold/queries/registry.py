@@ -199,7 +199,7 @@ REGISTERED = {
     ),
     "query_logs_folded": (
         lambda spark, sf: query_logs(event_logs(spark, sf), DEVICE, fold=True),
-        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE {CURRENT} ORDER BY id DESC LIMIT 500), " + FOLDED.format(source="q")
+        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE {CURRENT}), " + FOLDED.format(source="q")
         + " SELECT * FROM folded ORDER BY end_id DESC LIMIT 25",
     ),
     "search_logs": (
@@ -208,7 +208,7 @@ REGISTERED = {
     ),
     "search_logs_folded": (
         lambda spark, sf: search_logs(event_logs(spark, sf), DEVICE, "CLICK", limit=50, fold=True),
-        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'CLICK')} ORDER BY id DESC LIMIT 1000), "
+        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'CLICK')}), "
         + FOLDED.format(source="q") + " SELECT * FROM folded ORDER BY end_id DESC LIMIT 50",
     ),
     "search_documents": (
@@ -308,7 +308,7 @@ REGISTERED = {
     ),
     "search_report": (
         lambda spark, sf: report.search_report(event_logs(spark, sf), DEVICE, "click"),
-        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'click')} ORDER BY id DESC LIMIT 500), "
+        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'click')}), "
         + FOLDED.format(source="q").replace("folded AS", "unlimited AS")
         + ", folded AS (SELECT * FROM unlimited ORDER BY end_id DESC LIMIT 25)"
         + f", {RENDER_FOLDED} SELECT string_agg(text, '' ORDER BY end_id DESC) || chr(10) || "

@@ -18,6 +18,10 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     a session, a context window and a retention cut each touch few row groups.
     Sessions are not folders, since most are small and a device has many.
     """
+    if "continues" in logs.columns:
+        # A continued piece would become a second record with the same key.
+        whole = F.when(F.col("continues"), F.raise_error(F.lit("put pieces together with merge_pieces before storing them")))
+        logs = logs.withColumn("id", F.coalesce(whole.cast("bigint"), F.col("id")))
     blocks = logs.select(*LOGS.fieldNames(), F.shiftright("id", BLOCK_BITS).alias("_block"))
     ordered = blocks.repartition(*PARTITIONS, "_block").sortWithinPartitions(*PARTITIONS, "id").drop("_block")
     ordered.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)

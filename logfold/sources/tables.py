@@ -63,8 +63,16 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach: in the cluster's checkpoint folder, if it names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logfold-")
+    """A new folder below ``spark.checkpoint.dir``, which all executors reach.
+
+    Without that setting only a session that runs in one process gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="logfold-")
     return f"{root}/{name}-{uuid4().hex}"
 
 

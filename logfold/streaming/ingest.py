@@ -90,4 +90,5 @@ def clear(spark: SparkSession, out: str, batch: int, new_out: str) -> None:
     on, so ids are never given twice. Start the stream there with a new checkpoint.
     """
     state = state_after(spark, out, batch)
+    spark.createDataFrame([], PIECES).write.mode("overwrite").parquet(_part(new_out, "pieces", START))
     _write_state(new_out, START, reset_position(state.position), state.seen.limit(0))
