@@ -45,8 +45,11 @@ def _blocks(split: Splitter):
                 found = Counter(split(text))
                 lengths.append(len(text.encode()))
                 sizes.append(len(found))
-                places.append(np.array([index.setdefault(p, len(index)) for p in found], np.uint32))
-                times.append(np.fromiter(found.values(), np.uint32, len(found)))
+                place = np.array([index.setdefault(p, len(index)) for p in found], np.int64)
+                order = np.argsort(place)
+                # Steps from one place to the next are small numbers, which pack well.
+                places.append(np.diff(place[order], prepend=0).astype(np.uint32))
+                times.append(np.fromiter(found.values(), np.uint32, len(found))[order])
             ends = np.cumsum([len(p.encode()) for p in index], dtype=np.int64)
             ids = batch.column("_id")
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in (
@@ -119,7 +122,9 @@ def _counted(path: str):
 def _summed(batches):
     for row in rows_of(batches):
         ids, lengths, sizes = _unpack(row["ids"], "<i8"), _unpack(row["bytes"], "<i8"), _unpack(row["sizes"], "<u4")
-        places, times = _unpack(row["places"], "<u4"), _unpack(row["times"], "<u4")
+        steps, times = np.cumsum(_unpack(row["places"], "<u4"), dtype=np.int64), _unpack(row["times"], "<u4")
+        before = np.concatenate([[0], steps])[np.cumsum(sizes, dtype=np.int64) - sizes]
+        places = steps - np.repeat(before, sizes)
         counts = np.zeros(int(places.max(initial=0)) + 1, np.int64)
         for part in row["counted"] or []:
             counts[_unpack(part["counted"], "<u4")] = _unpack(part["counts"], "<u4")
