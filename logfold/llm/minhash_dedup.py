@@ -31,7 +31,7 @@ from logfold.llm.components import connected_components
 SIMILARITY_PERCENT = 85
 SYMBOLS_APART = 11
 # Classes of a key that are compared with all others in a round; one in the first, which settles most keys.
-LEADERS = 64
+LEADERS = 128
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -120,6 +120,8 @@ def _with_leaders(rows: DataFrame, leaders: int) -> DataFrame:
 
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: those of the components that the links join, and what follows for their members."""
+    if links.isEmpty():
+        return components
     if components is None:
         return connected_components(links)
     ends = _components_of(_components_of(links, components, "a").select(F.col("component").alias("a"), "b"), components, "b")
