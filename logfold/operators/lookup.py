@@ -27,9 +27,8 @@ def newest(logs: DataFrame, limit: int) -> DataFrame:
 
 
 def _newest_folded(logs: DataFrame, limit: int) -> DataFrame:
-    """Fold all records given, then keep the newest runs; a negative limit keeps all."""
-    ordered = fold_logs(logs).orderBy(F.desc("end_id"))
-    return ordered if limit < 0 else ordered.limit(limit)
+    """Fold all records given, then keep the newest runs; a limit below zero keeps none."""
+    return fold_logs(logs).orderBy(F.desc("end_id")).limit(max(limit, 0))
 
 
 def matching(logs: DataFrame, level: str = "", tag: str = "", query: str = "") -> DataFrame:
