@@ -46,19 +46,19 @@ def _with_seq(df: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _bases(files: DataFrame) -> DataFrame:
-    """First position of every file; ``files`` has _path and _size."""
-    folder = F.regexp_extract("_path", r"\A(.*)/", 1)
-    earlier = Window.partitionBy("_folder").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    """First position of every file among its device's; ``files`` has device, _path and _size."""
+    earlier = Window.partitionBy("device").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     slot = F.col("_size") + F.lit(1 << ROW_BITS)
-    return files.withColumn("_folder", folder).select(
-        "_path", F.coalesce(F.sum(slot).over(earlier), F.lit(0)).alias("_base")
-    )
+    return files.select("_path", F.coalesce(F.sum(slot).over(earlier), F.lit(0)).alias("_base"))
 
 
 def read_lines(spark: SparkSession, path: str, device: str | None = None) -> DataFrame:
     """The lines under a path in arrival order; files are listed, not opened, to place them."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = listing.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    # A device may have files in several folders below its own; without a device folder, all are one device's.
+    folder = F.lit("") if device is not None else F.regexp_extract("_path", r"\A.*/device=([^/]*)/", 1)
+    files = files.withColumn("device", folder)
     return _with_seq(_text(spark.read, path, device), _bases(files))
 
 
@@ -72,7 +72,7 @@ def stream_lines(spark: SparkSession, path: str, device: str | None = None, **op
 
 def batch_lines(batch: DataFrame) -> DataFrame:
     """One micro-batch of `stream_lines` as (device, seq, value)."""
-    return _with_seq(batch, _bases(batch.select("_path", "_size").distinct()))
+    return _with_seq(batch, _bases(batch.select("device", "_path", "_size").distinct()))
 
 
 def of_device(df: DataFrame, device: str) -> DataFrame:

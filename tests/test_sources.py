@@ -33,6 +33,20 @@ def test_order_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_folders_below_a_device(spark, tmp_path):
+    want = []
+    for day in (1, 2, 3):
+        for name in ("a.txt", "b.txt"):
+            lines = [f"{day}-{name}-{i}" for i in range(30)]
+            write(tmp_path / "device=p" / f"day={day}", name, lines)
+            want += lines
+    df = read_lines(spark, str(tmp_path))
+    assert in_order(df, "p") == want
+    assert df.select("seq").distinct().count() == len(want)
+    plain = read_lines(spark, str(tmp_path / "device=p"), device="q")
+    assert in_order(plain, "q") == want
+
+
 def test_framing(spark, tmp_path):
     write(tmp_path / "x", "a.txt", ["one\r", "two\r\r", "th\rree", "", " four"])
     df = read_lines(spark, str(tmp_path / "x"), device="phone")
