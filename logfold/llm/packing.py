@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import lower_ascii, text_of
+from logfold.llm.common import lower_ascii, partitions, text_of
 
 CAPACITY = 16_384
 SHARD_PIECES = 2_048
@@ -95,6 +95,7 @@ def best_fit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
             "source": data.column("source"),
         })
 
-    dealt = cut.withColumn("_shard", shard)
+    # A fixed number of tasks: pieces are few bytes and much search, and adaptive execution would join tasks by bytes.
+    dealt = cut.withColumn("_shard", shard).repartition(partitions(docs.sparkSession), "_shard")
     return dealt.groupBy("_shard").applyInArrow(
         run, "bin_id bigint, doc_id bigint, piece int, start bigint, length int, free int, source string")
