@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     No edges give no rows. Loops and repeated edges count once; edges with a null end count for nothing.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    edges = stored(edges.filter("a is not null and b is not null and a <> b").select(lo.alias("lo"), hi.alias("hi")).distinct(), "edges")
+    edges = edges.filter("a is not null and b is not null and a <> b").select(lo.alias("lo"), hi.alias("hi"))
     known = None
     while known is None or not edges.isEmpty():
         links = _jumped(stored(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), "hooks"))

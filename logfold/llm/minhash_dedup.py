@@ -48,27 +48,18 @@ def _signed(batches):
         words = [hashlib.sha256(b" ".join(t.lower().split())).digest() if len(s) else None for t, s in zip(texts, sets)]
         yield pa.RecordBatch.from_arrays([
             batch.column("_id"), pa.array(words, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([s.tobytes() for s in signs], pa.binary()),
+            pa.array(list(signs.view(np.int16)), pa.list_(pa.int16())),
         ], ["_id", "words", "n_shingles", "signature"])
 
 
 def _indexed(batches):
     for batch in batches:
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, shingles.SYMBOLS)
+        signs = np.asarray(batch.column("signature").flatten()).view(np.uint16).reshape(-1, shingles.SYMBOLS)
         keys = shingles.index_keys(signs)
         ids = np.repeat(np.asarray(batch.column("class_id")), keys.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "class_id"])
 
 
-def _near(batches):
-    """Pairs whose signatures are within the distance."""
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, shingles.SYMBOLS)
-                    for c in ("signature_a", "signature_b"))
-        close = (one != two).sum(axis=1) <= SYMBOLS_APART
-        yield batch.select(["a", "b"]).filter(pa.array(close))
-
-
 def _confirmed(batches):
     """Pairs whose full sets are similar enough."""
     for batch in pieces(pieces(batches, "text_a"), "text_b"):
@@ -78,18 +69,14 @@ def _confirmed(batches):
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _with_side(pairs: DataFrame, side: str, other: str, values: DataFrame, name: str) -> DataFrame:
-    """A value of the class on one side of the pairs."""
-    sizes = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-    groups = sizes.join(values.select(F.col("class_id").alias(side), F.col(name).alias(f"{name}_{side}")), side)
-    return join_groups(pairs, groups, side, other, "inner", sizes).drop("_n")
-
+def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked.
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
-    signed = _with_side(_with_side(pairs, "a", "b", classes, "signature"), "b", "a", classes, "signature")
-    near = stored(signed.mapInArrow(_near, "a bigint, b bigint"), "near")
-    read = _with_side(_with_side(near, "b", "a", texts, "text"), "a", "b", texts, "text")
+    A class is ``b`` of as many pairs as a round has leaders for its keys, which is bounded; it can be ``a`` of any number.
+    """
+    one, two = (texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
+    sizes = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    read = join_groups(near.join(two, "b"), sizes.join(one, "a"), "a", "b", "inner", sizes).drop("_n")
     return stored(read.mapInArrow(_confirmed, "a bigint, b bigint"), "links")
 
 
@@ -102,20 +89,31 @@ def _components_of(rows: DataFrame, components: DataFrame | None, column: str =
 
 
 def _open_keys(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(key, class_id, component, _n) of the keys whose classes are not one component yet."""
-    rows = _components_of(rows.select("key", "class_id"), components)
+    """Rows with component and _n, of the keys whose classes are not one component yet."""
+    rows = _components_of(rows, components)
     keys = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"),
     ).filter("_lo <> _hi").select("key", "_n")
-    return stored(join_groups(rows, keys, "key", "class_id", "inner"), "keys")
+    return join_groups(rows, keys, "key", "class_id", "inner")
+
 
+def _compared(rows: DataFrame, leaders: int) -> DataFrame:
+    """Rows with ``near`` and ``rest``, every one compared with the smallest of its key, so many at most.
 
-def _with_leaders(rows: DataFrame, leaders: int) -> DataFrame:
-    """Rows with ``first``: the smallest classes of their key, so many at most, and their components."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("class_id"))
+    ``near`` has the smaller classes among those, of other components, whose signatures are within the distance.
+    ``rest`` tells whether the row comes after them.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy("class_id", "signature"))
     few = rows.withColumn("_place", place).filter(F.col("_place") <= leaders)
-    groups = few.groupBy("key").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "component"))).alias("first"))
-    return stored(join_groups(rows.drop("_n"), groups, "key", "class_id", "inner"), "led")
+    groups = few.groupBy("key").agg(
+        F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "signature", "component"))).alias("first"))
+    apart = lambda f: F.size(F.filter(F.zip_with(f["signature"], "signature", lambda x, y: x != y), lambda differs: differs))
+    near = F.filter("first", lambda f: (f["component"] != F.col("component")) & (f["class_id"] < F.col("class_id"))
+                    & (apart(f) <= SYMBOLS_APART))
+    last = F.element_at("first", -1)
+    rest = F.struct("class_id", "signature") > F.struct(last["class_id"].alias("class_id"), last["signature"].alias("signature"))
+    led = join_groups(rows.drop("_n"), groups, "key", "class_id", "inner")
+    return stored(led.select("key", "class_id", "signature", F.transform(near, lambda f: f["class_id"]).alias("near"), rest.alias("rest")), "led")
 
 
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -134,24 +132,24 @@ def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(_id, n_shingles, component_id) of every row with an id."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("bigint").alias("_id"), text_of(text).alias("_text")).filter("_id is not null")
-    signed = stored(source.mapInArrow(_signed, "_id bigint, words binary, n_shingles bigint, signature binary"), "signed")
+    signed = stored(source.mapInArrow(_signed, "_id bigint, words binary, n_shingles bigint, signature array<smallint>"), "signed")
     groups = signed.filter("words is not null").groupBy("words").agg(
         F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("_n"), F.min("signature").alias("signature"))
     classes = stored(groups, "classes")
 
+    # A class has as many keys as the index; signatures go only to those that are open.
     rows = _open_keys(classes.select("class_id", "signature").mapInArrow(_indexed, "key bigint, class_id bigint").distinct(), None)
+    rows = stored(rows.join(classes.select("class_id", "signature"), "class_id"), "keys")
     known = rows.select("class_id").distinct()
     texts = stored(source.withColumnRenamed("_id", "class_id").join(known, "class_id", "left_semi")
                    .select("class_id", F.col("_text").alias("text")), "texts")
     components, leaders = None, 1
     while not rows.isEmpty():
-        led = _with_leaders(rows, leaders)
-        pairs = led.select("class_id", "component", F.explode("first").alias("f")).filter(
-            "f.component <> component and (f.class_id < class_id)")
-        found = _links(pairs.select(F.col("f.class_id").alias("a"), F.col("class_id").alias("b")).distinct(), classes, texts)
-        components = _joined(components, found)
-        last = F.element_at("first", -1)["class_id"]
-        rows = _open_keys(led.filter(F.col("class_id") > last), components)
+        led = _compared(rows, leaders)
+        near = stored(led.select(F.explode("near").alias("a"), F.col("class_id").alias("b")).distinct(), "near")
+        if not near.isEmpty():
+            components = _joined(components, _links(near, texts))
+        rows = stored(_open_keys(led.filter("rest").select("key", "class_id", "signature"), components), "keys")
         leaders = LEADERS
 
     known = join_groups(signed, classes.select("words", "_n", "class_id"), "words", "_id")
