@@ -169,3 +169,12 @@ def test_warc(spark):
         data = (html or "").encode()
         assert (rows[i].payload_bytes, rows[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
         assert (rows[i].record_type, rows[i].refers_to) == (("revisit", 1) if i == 3 else ("response", None))
+
+
+def test_minhash_links_of_repeated_ids(spark):
+    """Rows with one id are one document: it joins what either of its texts is linked with."""
+    words = lambda first: " ".join(f"w{first + k}" for k in range(300))
+    rows = [(5, words(0)), (5, "other " + words(900)), (9, words(0) + " x"), (7, words(900) + " y"), (12, ""), (None, words(0))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup(docs).collect()}
+    assert found == {(5, 5, True), (9, 5, False), (7, 5, False), (12, 12, True), (None, None, True)}
