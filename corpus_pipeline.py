@@ -12,6 +12,10 @@ from logfold.llm.quality_rules import quality_rules
 from logfold.llm.secret_scan import redact
 
 
+# Five-word sets that share this part of their union are near copies; op5 as a query has its own number.
+NEAR_PERCENT = 80
+
+
 def keep_good(spark, docs, sf_dir):
     """Documents that the quality rules do not reject."""
     return quality_rules(docs.selectExpr("struct(*) as _doc", "text"), carry=["_doc"]).filter("kept").select("_doc.*")
@@ -24,7 +28,8 @@ def drop_copies(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies."""
-    return minhash_dedup(docs.selectExpr("struct(*) as _doc", "doc_id", "text"), carry=["_doc"]).filter("kept").select("_doc.*")
+    rows = docs.selectExpr("struct(*) as _doc", "doc_id", "text")
+    return minhash_dedup(rows, carry=["_doc"], percent=NEAR_PERCENT).filter("kept").select("_doc.*")
 
 
 def mask_secrets(spark, docs, sf_dir):

@@ -2,11 +2,12 @@
 
 A document's set holds its distinct five-word shingles. Its signature has 24 symbols of 16 bits,
 each taken from the minimum of one hash function over the set. Documents are linked when their sets
-share 85 % of their union; signatures then differ in 3.6 of 24 symbols on average at the threshold,
-and in 12 or more for about one pair in 20,000. A signature is cut into six chunks of four symbols.
-If two differ in at most 11, then by the pigeonhole principle one chunk differs in at most one
-symbol; so every chunk is looked up four times, each time with another symbol left open. All pairs
-within that distance meet under a key, and they are confirmed on their full sets.
+share a given part of their union, 85 % or 80 %. A signature is cut into six chunks of four symbols,
+and every chunk is looked up four times, each time with another symbol left open. By the pigeonhole
+principle all pairs that differ in at most 11 symbols meet under a key; of those that differ in more,
+all meet that have a chunk with at most one differing symbol. Pairs that meet and differ in at most
+`symbols_apart` symbols are confirmed on their full sets. That distance follows from the similarity, so
+that a pair at the threshold is lost about once in 17,000 at 85 % (distance 11) and 25,000 at 80 % (14).
 
 Texts with equal word sequences have equal sets and are first made one class. A key is worked off in
 rounds that never list its pairs: its smallest class is compared with all others, and what is linked
@@ -17,6 +18,8 @@ with all others of its keys that are not of its component.
 """
 
 import hashlib
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,34 @@ from logfold.llm.common import beside, join_groups, small_batches, stored, text_
 from logfold.llm.components import connected_components
 
 SIMILARITY_PERCENT = 85
-SYMBOLS_APART = 11
+# Symbols in which all pairs may differ that the index is sure to bring together.
+SURE_APART = 2 * (shingles.SYMBOLS // shingles.CHUNK) - 1
+# Share of pairs at the threshold that may be lost.
+LOSS = 6e-5
 # Classes of a key that are compared with all others in a round; one in the first, which settles most keys.
 LEADERS = 128
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 
+def lost(percent: int, apart: int) -> float:
+    """Share of pairs of that similarity that meet under no key or differ in more than ``apart`` symbols."""
+    same = percent / 100
+    chunk = [comb(shingles.CHUNK, k) * (1 - same) ** k * same ** (shingles.CHUNK - k) for k in range(shingles.CHUNK + 1)]
+    met, unmet = np.ones(1), np.ones(1)
+    for _ in range(shingles.SYMBOLS // shingles.CHUNK):
+        met, unmet = np.convolve(met, chunk), np.convolve(unmet, [0, 0, *chunk[2:]])
+    return float(met[apart + 1:].sum() + unmet[:apart + 1].sum())
+
+
+@cache
+def symbols_apart(percent: int) -> int:
+    """The smallest distance of signatures with which no more than LOSS is lost at the threshold."""
+    for apart in range(SURE_APART, shingles.SYMBOLS):
+        if lost(percent, apart) <= LOSS:
+            return apart
+    raise ValueError(f"the index loses more than {LOSS} of the pairs with a similarity of {percent} %")
+
+
 def _texts(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
@@ -60,16 +85,19 @@ def _indexed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "class_id"])
 
 
-def _confirmed(batches):
+def _confirmed(percent: int):
     """Pairs whose full sets are similar enough."""
-    for batch in pieces(pieces(batches, "text_a"), "text_b"):
-        sets = shingles.shingle_sets(_texts(batch.column("text_a")) + _texts(batch.column("text_b")))
-        n = batch.num_rows
-        linked = [shingles.similar(sets[i], sets[n + i], SIMILARITY_PERCENT) for i in range(n)]
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    def run(batches):
+        for batch in pieces(pieces(batches, "text_a"), "text_b"):
+            sets = shingles.shingle_sets(_texts(batch.column("text_a")) + _texts(batch.column("text_b")))
+            n = batch.num_rows
+            linked = [shingles.similar(sets[i], sets[n + i], percent) for i in range(n)]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
 
 
-def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked.
 
     A class is ``b`` of as many pairs as a round has leaders for its keys, which is bounded; it can be ``a`` of any number.
@@ -77,7 +105,7 @@ def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = (texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
     sizes = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     read = join_groups(near.join(two, "b"), sizes.join(one, "a"), "a", "b", "inner", sizes).drop("_n")
-    return stored(read.mapInArrow(_confirmed, "a bigint, b bigint"), "links")
+    return stored(read.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
 
 
 def _components_of(rows: DataFrame, components: DataFrame | None, column: str = "class_id") -> DataFrame:
@@ -97,10 +125,10 @@ def _open_keys(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     return join_groups(rows, keys, "key", "class_id", "inner")
 
 
-def _compared(rows: DataFrame, leaders: int) -> DataFrame:
+def _compared(rows: DataFrame, leaders: int, most_apart: int) -> DataFrame:
     """Rows with ``near`` and ``rest``, every one compared with the smallest of its key, so many at most.
 
-    ``near`` has the smaller classes among those, of other components, whose signatures are within the distance.
+    ``near`` has the smaller classes among those, of other components, whose signatures are within ``most_apart`` symbols.
     ``rest`` tells whether the row comes after them.
     """
     place = F.row_number().over(Window.partitionBy("key").orderBy("class_id", "signature"))
@@ -109,7 +137,7 @@ def _compared(rows: DataFrame, leaders: int) -> DataFrame:
         F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "signature", "component"))).alias("first"))
     apart = lambda f: F.size(F.filter(F.zip_with(f["signature"], "signature", lambda x, y: x != y), lambda differs: differs))
     near = F.filter("first", lambda f: (f["component"] != F.col("component")) & (f["class_id"] < F.col("class_id"))
-                    & (apart(f) <= SYMBOLS_APART))
+                    & (apart(f) <= most_apart))
     last = F.element_at("first", -1)
     rest = F.struct("class_id", "signature") > F.struct(last["class_id"].alias("class_id"), last["signature"].alias("signature"))
     led = join_groups(rows.drop("_n"), groups, "key", "class_id", "inner")
@@ -128,7 +156,7 @@ def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(top.join(components, "node", "left_anti")), "components")
 
 
-def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
+def near_components(docs: DataFrame, id: str, text: str, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """(_id, n_shingles, component_id) of every row with an id."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id).cast("bigint").alias("_id"), text_of(text).alias("_text")).filter("_id is not null")
@@ -145,10 +173,10 @@ def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
                    .select("class_id", F.col("_text").alias("text")), "texts")
     components, leaders = None, 1
     while not rows.isEmpty():
-        led = _compared(rows, leaders)
+        led = _compared(rows, leaders, symbols_apart(percent))
         near = stored(led.select(F.explode("near").alias("a"), F.col("class_id").alias("b")).distinct(), "near")
         if not near.isEmpty():
-            components = _joined(components, _links(near, texts))
+            components = _joined(components, _links(near, texts, percent))
         rows = stored(_open_keys(led.filter("rest").select("key", "class_id", "signature"), components), "keys")
         leaders = LEADERS
 
@@ -157,15 +185,17 @@ def near_components(docs: DataFrame, id: str, text: str) -> DataFrame:
     return found.select("_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
+                  percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """Every row with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``.
 
+    Texts are linked when their sets share ``percent`` of their union; 80 is about the least that the index allows.
     Ids are whole numbers. A text without words has no shingles and no links. Rows with equal ids are
     one document with the links of each. Rows with a null id are not compared and are kept, with null results.
     Given columns with the name of a result are replaced. An empty table gives no rows.
     """
     given = docs.columns if carry is None else carry
-    found = near_components(docs, id, text).groupBy(F.col("_id").alias("_of")).agg(
+    found = near_components(docs, id, text, percent).groupBy(F.col("_id").alias("_of")).agg(
         F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), F.col(id).cast("bigint").alias("_id"))
     rows = rows.join(found, F.col("_id") == F.col("_of"), "left")
