@@ -5,8 +5,9 @@ points. The patterns are looked for leftmost and without overlap, each kind for
 candidate is a run of 20 or more characters of keys and tokens. A window of 20 slides over it;
 the counts of its characters change by one in and one out at each step, and so does the entropy.
 Windows over the bound of the candidate's class are joined into spans. Candidates on the
-allow-list are no secrets: words of one case, digits alone, identifiers in the form of a UUID,
-placeholders. Spans that overlap one found by a pattern are not added.
+allow-list are no secrets: words of one case, digits alone, identifiers in the form of a UUID.
+A window that holds a placeholder word does not count; other windows of its candidate do. Spans
+that lie within one found by a pattern are not added; those that reach beyond it are.
 """
 
 import math
@@ -29,8 +30,9 @@ HEX_BITS, MIXED_BITS = 3.0, 3.75
 ALLOWED = "|".join([
     r"[a-z_=-]+", r"[A-Z_=-]+", r"[A-Z]?[a-z/_=-]+", r"[0-9_=-]+", r"(?:[A-Za-z]+[/_-])+[A-Za-z]+",
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"(?i).*(?:example|placeholder|changeme|dummy|your_|xxxxx|00000000|12345678|abcdefgh).*",
 ])
+# Words of placeholders, which clear the windows that hold them.
+PLACEHOLDER = r"(?i)(?:example|placeholder|changeme|dummy|your_|xxxxx|00000000|12345678|abcdefgh)"
 BLOCK = 512
 SPAN = "array<struct<s:bigint,e:bigint>>"
 REDACTED = "[SECRET]"
@@ -64,7 +66,7 @@ def _placed(parts: Column, found: Column) -> Column:
 
 
 def _windows(candidate: Column, bound: Column) -> Column:
-    """Spans (from the candidate's start) of its windows with at least ``bound`` bits per character."""
+    """Spans (from the candidate's start) of its windows with at least ``bound`` bits per character and no placeholder."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
     weight = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
     table = F.array(*[F.lit(w) for w in weight])
@@ -92,7 +94,8 @@ def _windows(candidate: Column, bound: Column) -> Column:
             F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))),
             F.array(F.struct(last["s"].alias("s"), here["e"].alias("e"))),
         )
-        out = F.when((i + 1 < WINDOW) | (bits < bound), acc["out"]).when(
+        cleared = F.substring(candidate, i + 2 - WINDOW, F.lit(WINDOW)).rlike(PLACEHOLDER)
+        out = F.when((i + 1 < WINDOW) | (bits < bound) | cleared, acc["out"]).when(
             (F.size(acc["out"]) > 0) & (last["e"] >= here["s"]), joined
         ).otherwise(F.array_append(acc["out"], here))
         return F.struct(acc["n"].alias("n"), acc["sum"].alias("sum"), out.alias("out"))
@@ -155,8 +158,8 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             (x["at"]["s"] + w["s"]).alias("s"), (x["at"]["s"] + w["e"]).alias("e"))),
     ))
     rows = rows.withColumn("_high", F.when(F.size("_cand_at") == 0, empty).otherwise(high))
-    apart = F.filter("_high", lambda h: ~F.exists("base", lambda b: (h["s"] < b["e"]) & (b["s"] < h["e"])))
-    rows = rows.withColumn("found", pinned(F.sort_array(F.concat("base", _kind(apart, 3, "entropy")))))
+    beyond = F.filter("_high", lambda h: ~F.exists("base", lambda b: (b["s"] <= h["s"]) & (h["e"] <= b["e"])))
+    rows = rows.withColumn("found", pinned(F.sort_array(F.concat("base", _kind(beyond, 3, "entropy")))))
     return beside(rows, "row", given, ["base", "found"])
 
 
