@@ -1,7 +1,7 @@
 """Quality rules that look at lines first.
 
-Each line is judged for itself: does it end like a sentence, is it a bar of links, is it a
-standing phrase of web pages? Failing lines are removed, and a document that loses too much of
+Each line is judged for itself: does a long one hold the end of a sentence, is it a bar of links,
+is it short or mostly made of standing phrases of web pages? Failing lines are removed, and a document that loses too much of
 its text is rejected. Next to this stand counts over the whole text, two of which reject as well.
 All of it is column expressions over one row.
 """
@@ -14,8 +14,10 @@ from logfold.llm.common import SPACE, WORD, beside, pinned, text_of
 # Fixed values of the base rules.
 LEAST_WORDS, REPEAT_PERCENT, GRAM = 10, 20, 5
 SYMBOLS = r"[#*$%&|<>]"
-# A line of prose ends so; shorter lines (titles, list items) need not.
-SENTENCE_ENDS = [*".!?…。！？:;\"'”’»)]"]
+# A line of prose ends so or has a STOP within; shorter lines (titles, list items) need not.
+SENTENCE_ENDS = [*".!?…。！？؟۔।॥።｡．；：:;\"'”’»)]」』】》›"]
+# The end of a sentence within a line.
+STOP = r"[.!?…؟۔।॥።．][\"'”’»)\]」』]*(?=[\x20\x09-\x0D]|$)|[。！？｡]"
 BLANKS = " \t\n\x0b\x0c\r"
 SHORT_LINE_WORDS = 8
 # Navigation: a line with this many separators per word.
@@ -27,6 +29,8 @@ MARKED_PER_WORD = 0.3
 # Standing phrases of web pages, in lower case.
 BOILERPLATE = (r"\b(?=[acpstjl])(?:all rights reserved|cookie (?:policy|settings)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|"
                r"subscribe to our newsletter|click here|javascript (?:is|must be)|sign in|log ?in to|skip to (?:main )?content|lorem ipsum)\b")
+# A standing phrase fails a line of so many words at most, or one with a phrase per so many words.
+PHRASE_LINE_WORDS, WORDS_PER_PHRASE = 20, 8
 # A document goes when it keeps less than this share of its characters.
 LEAST_KEPT = 0.5
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept"]
@@ -38,10 +42,13 @@ def _words(text: Column) -> Column:
 
 def _line_fails(line: Column, n: Column) -> Column:
     """True for lines to remove, ``n`` being their words; a line without a word never is."""
-    no_end = ~F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1).isin(SENTENCE_ENDS) & (n > SHORT_LINE_WORDS)
+    no_end = ~F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1).isin(SENTENCE_ENDS) & (n > SHORT_LINE_WORDS) & ~line.rlike(STOP)
     navigation = F.regexp_count(line, F.lit(SEPARATORS)) >= F.greatest(F.lit(2), n * SEPARATORS_PER_WORD)
     marked = F.regexp_count(line, F.lit(MARKED)) >= F.greatest(F.lit(2), n * MARKED_PER_WORD)
-    return (n > 0) & (no_end | navigation | marked | F.lower(line).rlike(BOILERPLATE))
+    low = F.lower(line)
+    phrases = low.rlike(BOILERPLATE) & (
+        (n <= PHRASE_LINE_WORDS) | (F.regexp_count(low, F.lit(BOILERPLATE)) * WORDS_PER_PHRASE >= n))
+    return (n > 0) & (no_end | navigation | marked | phrases)
 
 
 def _placed(grams: Column) -> Column:
