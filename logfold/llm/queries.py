@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from logfold.llm import bpe, language_id, sql
+from logfold.llm.alignment import align_tokens
 from logfold.llm.common import table
 from logfold.llm.exact_dedup import exact_dedup
 from logfold.llm.minhash_dedup import minhash_dedup
@@ -15,7 +16,7 @@ from logfold.llm.secret_scan import secret_digest
 from logfold.llm.token_counts import token_counts
 from logfold.llm.warc import warc_round_trip
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, OTHER_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -69,6 +70,13 @@ def op10_best_fit_packing(spark, sf_dir):
     return best_fit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(OTHER_VOCABULARY))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,6 +92,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_token_alignment": op12_token_alignment,
     "pipeline": pipeline,
 }
 
