@@ -8,6 +8,7 @@ from logfold.llm import bpe, language_id, sql
 from logfold.llm.alignment import align_tokens
 from logfold.llm.common import table
 from logfold.llm.exact_dedup import exact_dedup
+from logfold.llm.fingerprints import fingerprints
 from logfold.llm.minhash_dedup import minhash_dedup
 from logfold.llm.packing import best_fit
 from logfold.llm.quality_classifier import classify
@@ -77,6 +78,12 @@ def op12_token_alignment(spark, sf_dir):
     return found.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op13_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fingerprints(docs, carry=["doc_id"])
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -93,6 +100,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_token_alignment": op12_token_alignment,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
 }
 
