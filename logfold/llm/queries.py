@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logfold.llm import bpe, language_id, sql
 from logfold.llm.alignment import align_tokens
 from logfold.llm.common import table
+from logfold.llm.conversation_trie import prefix_trie
 from logfold.llm.exact_dedup import exact_dedup
 from logfold.llm.fingerprints import fingerprints
 from logfold.llm.minhash_dedup import minhash_dedup
@@ -71,6 +72,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return best_fit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_alignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = align_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(OTHER_VOCABULARY))
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_token_alignment": op12_token_alignment,
     "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
