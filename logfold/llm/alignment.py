@@ -1,7 +1,7 @@
 """Alignment of the tokens of two vocabularies, and how often their ids meet over a whole corpus.
 
-Tokenizer A is a byte-level file of the tokenizers library, B a model of sentencepiece. Both give spans
-in characters or bytes of the text, which cut it coarsely. Where a span is not as wide as its token's own
+Tokenizer A is a byte-level file of the tokenizers library, B a model of sentencepiece. Both give spans in
+characters of the text, which cut it coarsely (sentencepiece by its offset mapping: the version at hand refuses immutable protos). Where a span is not as wide as its token's own
 bytes (parts of a multibyte character, byte-fallback tokens), the decoded bytes place the end. Places
 where tokens of both end cut a text into groups; A and B tokens with overlapping bytes are links.
 
@@ -16,6 +16,8 @@ the blocks. A block has one row for a pair, so no pair is a larger share of thes
 import json
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 from logfold.llm.arrow import pieces, rows_of
 from logfold.llm.common import small_batches, text_of
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 # Characters of segments that the libraries get at once.
 CHUNK = 1 << 16
 # Bytes of groups in one batch of results.
@@ -136,16 +138,17 @@ class Aligner:
             points = np.frombuffer(full.encode("utf-32-le"), "<u4")
             np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF), out=byte_of[1:])
         found = self.a.encode(full, add_special_tokens=False)
-        ids_a = np.array(found.ids, np.int64)
-        ends_a = self._spans(ids_a, self.wide_a, byte_of[np.array(found.offsets, np.int64).reshape(-1, 2)])
-        spans = self.b.encode(text, return_type="proto").pieces
-        ids_b = np.fromiter((p.id for p in spans), np.int64, len(spans))
-        # Bytes of the text, to which B adds the blank before: the first span has it as well.
-        coarse = np.array([(p.begin, p.end) for p in spans], np.int64).reshape(-1, 2) + 1
-        if len(coarse):
-            coarse[0, 0] = 0
-        ends_b = self._spans(ids_b, self.wide_b, coarse)
-        same = (b"".join([self.bytes_a[i] for i in ids_a]) == data == b"".join([self.bytes_b[i] for i in ids_b])
+        list_a = found.ids
+        ids_a = np.array(list_a, np.int64)
+        ends_a = self._spans(ids_a, self.wide_a, byte_of[_pairs(found.offsets)])
+        found = self.b.encode(text, return_type="offset_mapping", num_threads=1)
+        list_b = found["ids"]
+        ids_b = np.array(list_b, np.int64)
+        # Of the text, to which B adds the blank before: the first span has it as well.
+        coarse = _pairs(found["offsets"]) + 1
+        coarse[:1, 0] = 0
+        ends_b = self._spans(ids_b, self.wide_b, byte_of[coarse])
+        same = (b"".join([self.bytes_a[i] for i in list_a]) == data == b"".join([self.bytes_b[i] for i in list_b])
                 and np.array_equal(ends_a, np.cumsum(self.wide_a[ids_a])) and np.array_equal(ends_b, np.cumsum(self.wide_b[ids_b])))
         return (ids_a, ends_a, ids_b, ends_b) if same else None
 
@@ -219,10 +222,14 @@ class Aligner:
     def align(self, words: list[str]) -> Aligned:
         """Alignment of segments as `words` gives them, each by its parts between letters and marks."""
         index: dict[str, int] = {}
-        cut = [BETWEEN.split(" " + w) if self.by_marks else [" " + w] for w in words]
-        of = np.array([index.setdefault(part, len(index)) for parts in cut for part in parts], np.int64)
+        of, sizes = array("l"), array("l")
+        for w in words:
+            parts = BETWEEN.split(" " + w) if self.by_marks and not w.isalpha() else [" " + w]
+            of.extend([index.setdefault(part, len(index)) for part in parts])
+            sizes.append(len(parts))
+        of, sizes = np.array(of, np.int64), np.array(sizes, np.int64)
         small = self._small(list(index))
-        sizes = np.array([len(parts) for parts in cut], np.int64)
+        del index
         after = np.cumsum(sizes)
         counts = _summed(small.counts[of], sizes)
         shown = [small.groups[i] for i in of.tolist()]
@@ -231,6 +238,11 @@ class Aligner:
                        _summed(~small.valid[of], sizes) == 0)
 
 
+def _pairs(spans) -> np.ndarray:
+    """(begin, end) of spans."""
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
 def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of so many values in a row each; sums of none are zero."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, 0, dtype=np.int64)])
