@@ -4,6 +4,8 @@ Everything is column expressions over one row, so the scan has no shuffle. Posit
 points. The patterns are looked for leftmost and without overlap, each kind for itself. A
 candidate is a run of 20 or more characters of keys and tokens. A window of 20 slides over it;
 the counts of its characters change by one in and one out at each step, and so does the entropy.
+Long candidates are cut into blocks that share what a window needs, so the work grows with their
+length. No pattern repeats a group that the regular expressions would follow by recursion.
 Windows over the bound of the candidate's class are joined into spans. Candidates on the
 allow-list are no secrets: words of one case, digits alone, identifiers in the form of a UUID.
 A window that holds a placeholder word does not count; other windows of its candidate do. Spans
@@ -11,6 +13,7 @@ that lie within one found by a pattern are not added; those that reach beyond it
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +31,16 @@ WINDOW = 20
 HEX_BITS, MIXED_BITS = 3.0, 3.75
 # Candidates that are no secrets.
 ALLOWED = "|".join([
-    r"[a-z_=-]+", r"[A-Z_=-]+", r"[A-Z]?[a-z/_=-]+", r"[0-9_=-]+", r"(?:[A-Za-z]+[/_-])+[A-Za-z]+",
+    r"[a-z_=-]+", r"[A-Z_=-]+", r"[A-Z]?[a-z/_=-]+", r"[0-9_=-]+", r"(?:[A-Za-z]++[/_-])++[A-Za-z]++",
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
 ])
 # Words of placeholders, which clear the windows that hold them.
 PLACEHOLDER = r"(?i)(?:example|placeholder|changeme|dummy|your_|xxxxx|00000000|12345678|abcdefgh)"
 BLOCK = 512
+# Windows of a candidate that are worked off together.
+BLOCK_WINDOWS = 237
+# Sums that differ by rounding alone are equal.
+EQUAL = 1e-9
 SPAN = "array<struct<s:bigint,e:bigint>>"
 REDACTED = "[SECRET]"
 
@@ -65,45 +72,58 @@ def _placed(parts: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(blocks, zero, block, lambda a: a["all"]))
 
 
-def _windows(candidate: Column, bound: Column) -> Column:
-    """Spans (from the candidate's start) of its windows with at least ``bound`` bits per character and no placeholder."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+def _bound_once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not at every step that reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hot(block: Column, bound: Column) -> Column:
+    """Starts of the block's windows with at least ``bound`` bits per character and no placeholder."""
     weight = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
-    table = F.array(*[F.lit(w) for w in weight])
+    # What one more of a character adds to the sum of count * log2(count), by how many there are.
+    more = F.array(*[F.lit(weight[c + 1] - weight[c]) for c in range(WINDOW)])
 
-    def change(acc, code, by):
-        """One character more or less: its count, and the sum of count * log2(count)."""
-        count = F.get(acc["n"], code)
-        return F.struct(
-            F.transform(acc["n"], lambda x, i: F.when(i == code, x + by).otherwise(x)).alias("n"),
-            (acc["sum"] - F.get(table, count) + F.get(table, count + by)).alias("sum"),
-            acc["out"].alias("out"),
-        )
+    def changes(codes):
+        """Per character: the sum's change as it comes in and the one WINDOW places before goes out."""
+        def equal(i, code, places):
+            found = [F.when(F.get(codes, i + k) == code, 1).otherwise(0) for k in places]
+            return F.get(more, reduce(lambda x, y: x + y, found))
 
-    def step(acc, i):
-        full = i >= WINDOW
-        left = F.when(full, change(acc, F.get(codes, i - WINDOW), -1)).otherwise(acc)
-        now = F.aggregate(F.array(i), left, lambda a, j: change(a, F.get(codes, j), 1))
-        return F.aggregate(F.array(i), now, close)
-
-    def close(acc, i):
-        bits = F.lit(math.log2(WINDOW)) - acc["sum"] / WINDOW
-        here = F.struct((i + 1 - WINDOW).cast("bigint").alias("s"), (i + 1).cast("bigint").alias("e"))
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        joined = F.concat(
-            F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))),
-            F.array(F.struct(last["s"].alias("s"), here["e"].alias("e"))),
-        )
-        cleared = F.substring(candidate, i + 2 - WINDOW, F.lit(WINDOW)).rlike(PLACEHOLDER)
-        out = F.when((i + 1 < WINDOW) | (bits < bound) | cleared, acc["out"]).when(
-            (F.size(acc["out"]) > 0) & (last["e"] >= here["s"]), joined
-        ).otherwise(F.array_append(acc["out"], here))
-        return F.struct(acc["n"].alias("n"), acc["sum"].alias("sum"), out.alias("out"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.array().cast(SPAN).alias("out")
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(candidate) - 1), start, step, lambda a: a["out"])
+        def change(code, i):
+            out = i - WINDOW
+            gone = equal(out, F.get(codes, out), range(1, WINDOW))
+            return equal(i, code, range(1 - WINDOW, 0)) - F.when(i >= WINDOW, gone).otherwise(0.0)
+
+        return F.transform(codes, change)
+
+    def step(acc, change, masked):
+        total, start = acc["sum"] + change, acc["n"] + 1 - WINDOW
+        hot = (start >= 0) & (math.log2(WINDOW) - total / WINDOW >= bound - EQUAL)
+        clear = ~masked | ~F.substring(block, start + 1, F.lit(WINDOW)).rlike(PLACEHOLDER)
+        out = F.when(hot & clear, F.array_append(acc["out"], start)).otherwise(acc["out"])
+        return F.struct(total.alias("sum"), (acc["n"] + 1).alias("n"), out.alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    codes = F.transform(F.split(block, ""), lambda c: F.ascii(c))
+    return _bound_once(block.rlike(PLACEHOLDER), lambda masked: F.aggregate(
+        _bound_once(codes, changes), start, lambda acc, x: step(acc, x, masked), lambda acc: acc["out"]))
+
+
+def _windows(candidate: Column, bound: Column) -> Column:
+    """Spans (from the candidate's start) of its windows with at least ``bound`` bits per character and no placeholder.
+
+    Candidates are ASCII, so blocks are cut as bytes; a block shares WINDOW - 1 characters with the next, so that each
+    window is in one.
+    """
+    blocks = F.sequence(F.lit(0), F.char_length(candidate) - WINDOW, F.lit(BLOCK_WINDOWS))
+    block = lambda data, at: F.substring(data, at + 1, F.lit(BLOCK_WINDOWS + WINDOW - 1)).cast("string")
+    hot = _bound_once(bound, lambda least: _bound_once(candidate.cast("binary"), lambda data: F.flatten(F.transform(
+        blocks, lambda at: F.transform(_bound_once(block(data, at), lambda b: _hot(b, least)), lambda x: x + at)))))
+    # A span begins at a window that touches none before, and ends with one that touches none after.
+    first = lambda starts: F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i - 1) + WINDOW < x, F.lit(True)))
+    last = lambda starts: F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + 1) > x + WINDOW, F.lit(True)))
+    return _bound_once(hot, lambda starts: F.zip_with(first(starts), last(starts), lambda a, z: F.struct(
+        a.cast("bigint").alias("s"), (z + WINDOW).cast("bigint").alias("e"))))
 
 
 def _kind(spans: Column, rank: int, kind: str) -> Column:
@@ -117,7 +137,7 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row with ``base`` and ``found``: arrays of (s, rank, e, kind), in order, without and with entropy spans.
 
-    A null or empty text has none. Nothing else is read, so nulls elsewhere, ties and repeated rows
+    A null or empty text has none; texts and candidates of any length are scanned whole. Nothing else is read, so nulls elsewhere, ties and repeated rows
     change nothing; given columns named ``base`` or ``found`` are replaced.
     """
     given = docs.columns
