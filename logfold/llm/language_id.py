@@ -5,8 +5,8 @@ per candidate: log-probabilities of its character trigrams and four-grams, learn
 Viterbi path over the words, with a penalty for each switch, labels spans of one language; the language
 with most letters is the text's.
 
-The model is fitted on a bounded sample of the rows with a label (SAMPLE_ROWS, those with the smallest
-hash); prediction reads whole texts and nothing else.
+The model is fitted on whole texts of a bounded sample of the rows of each label (SAMPLE_ROWS, those with the
+smallest hash); prediction reads whole texts and nothing else.
 """
 
 import sys
@@ -14,15 +14,16 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces
 from logfold.llm.common import small_batches, text_of
 
-SAMPLE_ROWS = 8_000
-# Letters of a sampled text that are counted.
-SAMPLE_LETTERS = 20_000
+# Rows of a language that are learned from.
+SAMPLE_ROWS = 2_000
+# More languages are refused: the model, which every task gets, grows with them.
+MOST_LANGUAGES = 500
 BUCKET_BITS = 15
 SMOOTHING = 0.5
 SWITCH = 14.0
@@ -46,11 +47,12 @@ NAMES = sorted({name for _, name in SCRIPTS})
 _letters = None
 
 
-def _is_letter() -> np.ndarray:
-    """Whether each code point is a letter or a mark that goes with one."""
+def _kinds() -> np.ndarray:
+    """For each code point 2 if it is a letter, 1 if it is a mark that goes with one, else 0."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        kinds = {"L": 2, "M": 1}
+        _letters = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
     return _letters
 
 
@@ -60,11 +62,13 @@ class Words:
     def __init__(self, texts: list[str]):
         # Two blanks between texts keep grams within one word, as blanks within a text do.
         points = np.frombuffer("".join(f"  {t.lower()}" for t in texts).encode("utf-32-le", "surrogatepass") + b"\0" * 8, "<u4")
-        letter = _is_letter()[np.minimum(points, sys.maxunicode)]
+        kind = _kinds()[np.minimum(points, sys.maxunicode)]
+        letter = kind > 0
         c = np.where(letter, points, 0).astype(np.uint32)
         at = np.flatnonzero(letter)
         one, two, nxt = c[at - 1] if len(at) else c[:0], c[at - 2] if len(at) else c[:0], c[at + 1] if len(at) else c[:0]
-        here = c[at]
+        # Beyond the blank before a word lies another word, which its score has nothing to do with.
+        here, two = c[at], np.where(one > 0, two, 0).astype(np.uint32)
         shift = np.uint32(32 - BUCKET_BITS)
         three = (one * np.uint32(0x9E3779B1)) ^ (here * np.uint32(0x85EBCA6B)) ^ (nxt * np.uint32(0xC2B2AE35))
         three = (three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
@@ -75,6 +79,9 @@ class Words:
         begin = np.cumsum([0, *[len(t.lower()) + 2 for t in texts]])
         self.texts = np.searchsorted(at[self.starts] if len(at) else at, begin)
         self.letters = np.searchsorted(at, begin)
+        # Marks alone are no text in any language.
+        real = np.append(0, np.cumsum(kind == 2))
+        self.has_letters = real[begin[1:]] > real[begin[:-1]]
         first = here[self.starts] if len(at) else here
         script = np.searchsorted([s for s, _ in SCRIPTS], first, "right") - 1
         self.scripts = np.array([NAMES.index(n) for _, n in SCRIPTS])[script]
@@ -91,8 +98,7 @@ def _counted(batches):
             counts = np.zeros(2 << BUCKET_BITS, np.int64)
             scripts = np.zeros(len(NAMES), np.int64)
             for i in own:
-                a = words.letters[i]
-                b = min(words.letters[i + 1], a + SAMPLE_LETTERS)
+                a, b = words.letters[i], words.letters[i + 1]
                 for g in words.grams:
                     counts += np.bincount(g[a:b], minlength=len(counts))
                 w = slice(words.texts[i], words.texts[i + 1])
@@ -108,7 +114,9 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
-        half = counts.reshape(len(langs), 2, -1) + SMOOTHING
+        if not langs:
+            return
+        half = counts.reshape(len(langs), 2, 1 << BUCKET_BITS) + SMOOTHING
         logs = np.log(half / half.sum(axis=2, keepdims=True)).reshape(len(langs), -1)
         self.table = np.ascontiguousarray((logs - logs.max(axis=0)).T.astype(np.float32))
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
@@ -156,14 +164,20 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` rows with a label, those with the smallest hash of id and text.
+    """Learn from at most ``rows`` rows of each language, those with the smallest hash of id and text.
 
-    Rows that share a hash with the last one are taken as well: copies of one row.
+    Rows that share a hash with the last one are taken as well: copies of one row. Without labels the model has no
+    languages. Counts per language and gram come to the driver: 2 ** (BUCKET_BITS + 1) for each of MOST_LANGUAGES.
     """
     place = F.xxhash64(F.col(id).cast("string"), "_text").alias("_h")
     labelled = docs.filter(F.col(lang).isNotNull()).withColumn("_text", text_of(text)).select(F.col(lang).cast("string").alias("_lang"), "_text", place)
-    cut = labelled.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).scalar()
-    sample = labelled.filter(F.col("_h") <= cut).repartition("_h").drop("_h")
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    first = labelled.select("_lang", "_h").withColumn("_rank", rank).filter(F.col("_rank") <= rows)
+    cuts = first.groupBy("_lang").agg(F.max("_h").alias("_cut")).limit(MOST_LANGUAGES + 1).collect()
+    if len(cuts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    cuts = docs.sparkSession.createDataFrame(cuts, "_lang string, _cut bigint")
+    sample = labelled.join(F.broadcast(cuts), "_lang").filter("_h <= _cut").repartition("_h").select("_lang", "_text")
     found = sample.mapInArrow(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts, scripts = np.zeros((len(langs), 2 << BUCKET_BITS)), np.zeros((len(langs), len(NAMES)))
@@ -191,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
     """(doc_id, lang_pred, score, n_spans) of every row.
 
     ``score`` is the share of letters in spans of the predicted language. A text that is null or has no
-    letters, or a model without languages, gives `und` and 0. The first language in order wins a tie.
+    letters (marks alone are none), or a model without languages, gives `und` and 0. Texts of any length are read whole. The first language in order wins a tie.
     Only the text is read: other columns, repeated rows and null ids change nothing.
     """
 
@@ -200,8 +214,8 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
             words = Words(batch.column("_text").to_pylist())
             scores = model.word_scores(words) if model.langs else None
             langs, shares, numbers = [], [], []
-            for a, b in zip(words.texts[:-1], words.texts[1:]):
-                if a == b or scores is None:
+            for a, b, known in zip(words.texts[:-1], words.texts[1:], words.has_letters):
+                if not known or scores is None:
                     langs.append(UNKNOWN), shares.append(0.0), numbers.append(0)
                     continue
                 path = viterbi(scores[a:b])
