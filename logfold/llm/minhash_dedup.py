@@ -1,20 +1,20 @@
 """Near duplicates by MinHash signatures and a multi-index Hamming join.
 
-A document's set holds its distinct five-word shingles. Its signature has 24 symbols of 16 bits,
+A document's set holds its distinct five-word shingles. Its signature has 36 symbols of 16 bits,
 each taken from the minimum of one hash function over the set. Documents are linked when their sets
-share a given part of their union, 85 % or 80 %. A signature is cut into six chunks of four symbols,
+share a given part of their union, 85 % or 80 %. A signature is cut into nine chunks of four symbols,
 and every chunk is looked up four times, each time with another symbol left open. By the pigeonhole
-principle all pairs that differ in at most 11 symbols meet under a key; of those that differ in more,
-all meet that have a chunk with at most one differing symbol. Pairs that meet and differ in at most
-`symbols_apart` symbols are confirmed on their full sets. That distance follows from the similarity, so
-that a pair at the threshold is lost about once in 17,000 at 85 % (distance 11) and 25,000 at 80 % (14).
+principle all pairs that differ in at most 17 symbols meet under a key. Pairs that meet and differ in at most
+`symbols_apart` symbols, never more than those 17, are confirmed on their full sets. That distance follows from
+the similarity: 14 at 85 % and 17 at 80 %, where a pair at the threshold is lost about once in 9,600 and 18,000.
 
 Texts with equal word sequences have equal sets and are first made one class. A key is worked off in
-rounds that never list its pairs: its smallest class is compared with all others, and what is linked
-becomes one component. Then the smallest goes, and with it every key whose classes are one component. Later
-rounds take the LEADERS smallest of a key, and compare them with classes of other components only. A round's
-rows are LEADERS times those of the keys at most, and the rounds end when every class has been compared
-with all others of its keys that are not of its component.
+rounds that never list its pairs. In a round, a class looks at the LEADERS next smaller classes of each key, passes
+those of its own component and those that are too far apart, and proposes the first other one. Of what its keys propose it
+tests the smallest class of each component, as a link to any member is enough; the number of tests per component
+doubles from round to round, for the few that fail. Then components are joined, and what lies in between two classes of
+one component is never tested. A round has a row per class and key, and the rounds end when every class has
+passed all smaller ones of its keys.
 """
 
 import hashlib
@@ -28,33 +28,31 @@ from pyspark.sql import functions as F
 
 from logfold.llm import shingles
 from logfold.llm.arrow import pieces
-from logfold.llm.common import beside, join_groups, small_batches, stored, text_of
+from logfold.llm.common import beside, forget, join_groups, small_batches, stored, text_of
 from logfold.llm.components import connected_components
 
 SIMILARITY_PERCENT = 85
 # Symbols in which all pairs may differ that the index is sure to bring together.
 SURE_APART = 2 * (shingles.SYMBOLS // shingles.CHUNK) - 1
-# Share of pairs at the threshold that may be lost.
-LOSS = 6e-5
-# Classes of a key that are compared with all others in a round; one in the first, which settles most keys.
-LEADERS = 128
+# Share of pairs at the threshold whose signatures may differ by more.
+LOSS = 1.1e-4
+# Classes of a key that each other one looks at in a round.
+LEADERS = 64
+# Tests of a class with one component in a round, at most; the first round makes one.
+MOST_TESTS = 32
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 
 def lost(percent: int, apart: int) -> float:
-    """Share of pairs of that similarity that meet under no key or differ in more than ``apart`` symbols."""
-    same = percent / 100
-    chunk = [comb(shingles.CHUNK, k) * (1 - same) ** k * same ** (shingles.CHUNK - k) for k in range(shingles.CHUNK + 1)]
-    met, unmet = np.ones(1), np.ones(1)
-    for _ in range(shingles.SYMBOLS // shingles.CHUNK):
-        met, unmet = np.convolve(met, chunk), np.convolve(unmet, [0, 0, *chunk[2:]])
-    return float(met[apart + 1:].sum() + unmet[:apart + 1].sum())
+    """Share of pairs of that similarity whose signatures differ in more than ``apart`` symbols."""
+    same, n = percent / 100, shingles.SYMBOLS
+    return sum(comb(n, k) * (1 - same) ** k * same ** (n - k) for k in range(apart + 1, n + 1))
 
 
 @cache
 def symbols_apart(percent: int) -> int:
-    """The smallest distance of signatures with which no more than LOSS is lost at the threshold."""
-    for apart in range(SURE_APART, shingles.SYMBOLS):
+    """The smallest distance of signatures with which no more than LOSS is lost at the threshold; all pairs within it meet."""
+    for apart in range(SURE_APART + 1):
         if lost(percent, apart) <= LOSS:
             return apart
     raise ValueError(f"the index loses more than {LOSS} of the pairs with a similarity of {percent} %")
@@ -89,9 +87,12 @@ def _confirmed(percent: int):
     """Pairs whose full sets are similar enough."""
     def run(batches):
         for batch in pieces(pieces(batches, "text_a"), "text_b"):
-            sets = shingles.shingle_sets(_texts(batch.column("text_a")) + _texts(batch.column("text_b")))
+            # A class that many others meet comes many times.
+            both = _texts(batch.column("text_a")) + _texts(batch.column("text_b"))
+            place = {t: k for k, t in enumerate(dict.fromkeys(both))}
+            sets = shingles.shingle_sets(list(place))
             n = batch.num_rows
-            linked = [shingles.similar(sets[i], sets[n + i], percent) for i in range(n)]
+            linked = [shingles.similar(sets[place[both[i]]], sets[place[both[n + i]]], percent) for i in range(n)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -100,7 +101,7 @@ def _confirmed(percent: int):
 def _links(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked.
 
-    A class is ``b`` of as many pairs as a round has leaders for its keys, which is bounded; it can be ``a`` of any number.
+    A class is ``b`` of few pairs of a round; it can be ``a`` of any number.
     """
     one, two = (texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
     sizes = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
@@ -116,32 +117,34 @@ def _components_of(rows: DataFrame, components: DataFrame | None, column: str =
     return joined.withColumn("component", F.coalesce("component", column))
 
 
-def _open_keys(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Rows with component and _n, of the keys whose classes are not one component yet."""
+def _open_rows(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Rows with component, of the keys that have several and in which some class is not done; without those that all have passed."""
     rows = _components_of(rows, components)
     keys = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"),
-    ).filter("_lo <> _hi").select("key", "_n")
-    return join_groups(rows, keys, "key", "class_id", "inner")
+        F.min(F.when(~F.col("done"), F.col("passed"))).alias("base"),
+    ).filter("_lo <> _hi and base is not null").select("key", "_n", "base")
+    return join_groups(rows, keys, "key", "class_id", "inner").filter("not done or class_id > base")
 
 
-def _compared(rows: DataFrame, leaders: int, most_apart: int) -> DataFrame:
-    """Rows with ``near`` and ``rest``, every one compared with the smallest of its key, so many at most.
-
-    ``near`` has the smaller classes among those, of other components, whose signatures are within ``most_apart`` symbols.
-    ``rest`` tells whether the row comes after them.
-    """
-    place = F.row_number().over(Window.partitionBy("key").orderBy("class_id", "signature"))
-    few = rows.withColumn("_place", place).filter(F.col("_place") <= leaders)
+def _proposed(rows: DataFrame, most_apart: int, tests: int) -> DataFrame:
+    """Rows with ``a``, the next smaller class of their key that may be near and is of another component, whether it is tested now, and what is passed then."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("class_id"))
+    few = rows.filter("class_id > base").withColumn("_place", place).filter(F.col("_place") <= LEADERS)
     groups = few.groupBy("key").agg(
         F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "signature", "component"))).alias("first"))
     apart = lambda f: F.size(F.filter(F.zip_with(f["signature"], "signature", lambda x, y: x != y), lambda differs: differs))
-    near = F.filter("first", lambda f: (f["component"] != F.col("component")) & (f["class_id"] < F.col("class_id"))
-                    & (apart(f) <= most_apart))
-    last = F.element_at("first", -1)
-    rest = F.struct("class_id", "signature") > F.struct(last["class_id"].alias("class_id"), last["signature"].alias("signature"))
+    near = F.filter("first", lambda f: ~F.col("done") & (f["class_id"] > F.col("passed")) & (f["class_id"] < F.col("class_id"))
+                    & (f["component"] != F.col("component")) & (apart(f) <= most_apart))
     led = join_groups(rows.drop("_n"), groups, "key", "class_id", "inner")
-    return stored(led.select("key", "class_id", "signature", F.transform(near, lambda f: f["class_id"]).alias("near"), rest.alias("rest")), "led")
+    led = led.withColumns({"_near": F.get(near, F.lit(0)), "_last": F.element_at("first", -1)["class_id"]})
+    led = led.select(
+        "key", "class_id", "signature", "passed", "done", F.col("_near.class_id").alias("a"), F.col("_near.component").alias("of"),
+        F.when((F.size("first") == LEADERS) & (F.col("_last") < F.col("class_id")), F.col("_last")).alias("further"))
+    smallest = F.dense_rank().over(Window.partitionBy("class_id", "of").orderBy("a"))
+    led = led.withColumn("tested", F.col("a").isNotNull() & (smallest <= tests))
+    after = F.when(F.col("a").isNotNull(), F.when(F.col("tested"), F.col("a")).otherwise(F.col("a") - 1)).otherwise(F.coalesce("further", "passed"))
+    return led.select("key", "class_id", "signature", after.alias("passed"), (F.col("a").isNull() & F.col("further").isNull()).alias("done"), "a", "tested")
 
 
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -153,7 +156,9 @@ def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
     ends = _components_of(_components_of(links, components, "a").select(F.col("component").alias("a"), "b"), components, "b")
     top = connected_components(ends.select("a", F.col("component").alias("b")))
     moved = _components_of(components.select("node", F.col("component").alias("was")), top, "was").select("node", "component")
-    return stored(moved.unionByName(top.join(components, "node", "left_anti")), "components")
+    joined = stored(moved.unionByName(top.join(components, "node", "left_anti")), "components")
+    forget(components, top)
+    return joined
 
 
 def near_components(docs: DataFrame, id: str, text: str, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -164,24 +169,40 @@ def near_components(docs: DataFrame, id: str, text: str, percent: int = SIMILARI
     groups = signed.filter("words is not null").groupBy("words").agg(
         F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("_n"), F.min("signature").alias("signature"))
     classes = stored(groups, "classes")
+    known = join_groups(signed.drop("signature"), classes.select("words", "_n", "class_id"), "words", "_id")
+    known = stored(known.select("_id", "n_shingles", F.coalesce("class_id", "_id").alias("class_id")), "known")
+    forget(signed)
+    # Rows that repeat an id are one document, so the classes of its texts are one component.
+    own = known.groupBy("_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("_hi")).filter("a <> _hi").select("_id", "a")
+    same = stored(known.join(own, "_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct(), "same")
+    components = _joined(None, same)
+    forget(same)
 
     # A class has as many keys as the index; signatures go only to those that are open.
-    rows = _open_keys(classes.select("class_id", "signature").mapInArrow(_indexed, "key bigint, class_id bigint").distinct(), None)
+    index = classes.select("class_id", "signature").mapInArrow(_indexed, "key bigint, class_id bigint").distinct()
+    start = {"passed": F.lit(-(1 << 63)), "done": F.lit(False)}
+    rows = _open_rows(index.withColumns(start), components).select("key", "class_id", "passed", "done")
     rows = stored(rows.join(classes.select("class_id", "signature"), "class_id"), "keys")
-    known = rows.select("class_id").distinct()
-    texts = stored(source.withColumnRenamed("_id", "class_id").join(known, "class_id", "left_semi")
+    forget(classes)
+    texts = stored(source.withColumnRenamed("_id", "class_id").join(rows.select("class_id").distinct(), "class_id", "left_semi")
                    .select("class_id", F.col("_text").alias("text")), "texts")
-    components, leaders = None, 1
-    while not rows.isEmpty():
-        led = _compared(rows, leaders, symbols_apart(percent))
-        near = stored(led.select(F.explode("near").alias("a"), F.col("class_id").alias("b")).distinct(), "near")
+    tests = 1
+    while True:
+        opened = stored(_open_rows(rows, components), "open")
+        forget(rows)
+        if opened.isEmpty():
+            break
+        rows = stored(_proposed(opened, symbols_apart(percent), tests), "rows")
+        near = stored(rows.filter("tested").select("a", F.col("class_id").alias("b")).distinct(), "near")
         if not near.isEmpty():
-            components = _joined(components, _links(near, texts, percent))
-        rows = stored(_open_keys(led.filter("rest").select("key", "class_id", "signature"), components), "keys")
-        leaders = LEADERS
-
-    known = join_groups(signed, classes.select("words", "_n", "class_id"), "words", "_id")
-    found = _components_of(known.withColumn("class_id", F.coalesce("class_id", "_id")), components)
+            links = _links(near, texts, percent)
+            components = _joined(components, links)
+            forget(links)
+        forget(opened, near)
+        tests = min(2 * tests, MOST_TESTS)
+    forget(opened, texts)
+
+    found = _components_of(known, components)
     return found.select("_id", "n_shingles", F.col("component").alias("component_id"))
 
 
@@ -191,7 +212,7 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry
 
     Texts are linked when their sets share ``percent`` of their union; 80 is about the least that the index allows.
     Ids are whole numbers. A text without words has no shingles and no links. Rows with equal ids are
-    one document with the links of each. Rows with a null id are not compared and are kept, with null results.
+    one document with the links of each, to which they are joined. Texts of any length count whole. Rows with a null id are not compared and are kept, with null results.
     Given columns with the name of a result are replaced. An empty table gives no rows.
     """
     given = docs.columns if carry is None else carry

@@ -7,7 +7,7 @@ words' 64-bit hashes; a text of fewer than five words has one shingle, its whole
 import numpy as np
 
 SHINGLE = 5
-SYMBOLS, SYMBOL_BITS = 24, 16
+SYMBOLS, SYMBOL_BITS = 36, 16
 CHUNK = 4
 
 _random = np.random.Generator(np.random.PCG64(20240229))
