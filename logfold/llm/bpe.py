@@ -1,15 +1,15 @@
 """BPE encoding and decoding with reuse of chunks that documents share.
 
 A rolling hash over 24 characters cuts texts where their content says so, so that equal passages are
-cut alike wherever they stand. The core of a chunk runs from its first to its last safe place, a place
-before a blank that follows something else: there every reading of the vocabulary's pattern starts anew,
-so a core encodes alike in any text. Cores that occur more than once are encoded once and their ids sent
-to all texts that hold them. The joins between cores are encoded anew with each text, from one safe
-place to the next one that agrees, across as many chunks as that takes; for a text without any, that is the
-whole text.
+cut alike wherever they stand. A chunk is trimmed to its core, from its first to its last blank that follows something
+else. Cores that occur more than once are encoded once and their ids sent to all texts that hold them. The joins
+are repaired: the text between two cores is encoded anew together with a stretch of both, and what it says of these
+stretches is compared with the ids of the cores. Where they differ, more of the cores is taken, up to
+all of them, until both agree; a text without cores is encoded whole.
 """
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 
 from logfold.llm.arrow import pieces, rows_of
 from logfold.llm.common import join_groups, small_batches, text_of
-from logfold.llm.pretokens import Pieces
+from logfold.llm.pretokens import Pieces, special_tokens
 
 WINDOW, MEAN_BITS = 24, 10
 LEAST, MOST = 128, 8192
 CORE_LEAST = 64
+# Characters of a core that a join is encoded with at first; four times as many at each try after that.
+STRETCH = 24
+BLANK = re.compile(r"(?<=\S) ")
+# Bytes of text in one batch of results.
+BATCH_BYTES = 256 << 10
 BLOCK_BYTES = 1 << 20
 PACKED = "block bigint, texts binary, ids binary, cores array<struct<doc:int,start:int,end:int,digest:binary>>"
 CORE = pa.struct([("doc", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
@@ -73,18 +78,24 @@ def cores(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(first.tolist(), last.tolist()) if b - a >= CORE_LEAST]
 
 
-def _packed(batches):
-    first = TaskContext.get().partitionId() << 32
-    for n, batch in enumerate(pieces(batches, "_text", BLOCK_BYTES)):
-        texts = batch.column("_text").to_pylist()
-        found = [
-            {"doc": i, "start": a, "end": b, "digest": hashlib.blake2b(t[a:b].encode(), digest_size=16).digest()}
-            for i, t in enumerate(texts) for a, b in cores(t)
-        ]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([first + n]), pa.array([_pack_texts(texts)], pa.binary()),
-            pa.array([batch.column("_id").to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([found], pa.list_(CORE)),
-        ], ["block", "texts", "ids", "cores"])
+def _packed(path: str):
+    # A special token with white space could reach into a core; texts are then encoded whole.
+    whole = any(c.isspace() for t in special_tokens(path) for c in t)
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for n, batch in enumerate(pieces(batches, "_text", BLOCK_BYTES)):
+            texts = batch.column("_text").to_pylist()
+            found = [
+                {"doc": i, "start": a, "end": b, "digest": hashlib.blake2b(t[a:b].encode(), digest_size=16).digest()}
+                for i, t in enumerate(texts) for a, b in ([] if whole else cores(t))
+            ]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + n]), pa.array([_pack_texts(texts)], pa.binary()),
+                pa.array([batch.column("_id").to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([found], pa.list_(CORE)),
+            ], ["block", "texts", "ids", "cores"])
+
+    return run
 
 
 def _pack_texts(texts: list[str]) -> bytes:
@@ -121,53 +132,95 @@ def _encoded_cores(path: str):
     return run
 
 
-def stitched(texts: list[str], shared: list[list[tuple[int, int, bytes]]], vocabulary: Pieces) -> list[bytes]:
-    """Ids of whole texts: those of shared cores (start, end, ids) as they are, everything between encoded anew."""
-    gaps = []
-    for text, known in zip(texts, shared):
-        ends = [0, *(e for _, e, _ in known)]
-        gaps.append([text[a:b] for a, b in zip(ends, [*(s for s, _, _ in known), len(text)])])
-    encoded = iter(vocabulary.encode([g for gap in gaps for g in gap]))
-    out = []
-    for gap, known in zip(gaps, shared):
-        parts = [next(encoded)]
-        for (_, _, ids), _gap in zip(known, gap[1:]):
-            parts += [ids, next(encoded)]
-        out.append(b"".join(parts))
-    return out
-
+def repaired(text: str, left: tuple[int, int, bytes], right: tuple[int, int, bytes], vocabulary: Pieces) -> tuple[int, int, bytes]:
+    """Two neighbouring cores (start, end, ids) of a text as one, with the text between them.
 
-def _assembled(path: str):
+    The join is encoded with a stretch of either core, and both stretches must have the ids that they have in
+    their cores. They are widened until they do, at last to the whole cores, which then need not agree.
+    """
+    (a, b, before), (c, d, after) = left, right
+    wide = STRETCH
+    while True:
+        start, end = max(a, b - wide), min(d, c + wide)
+        # Stretches begin and end before a blank that follows something else, as cores do.
+        start = a if start == a else next((m.start() for m in BLANK.finditer(text, start, b)), -1)
+        end = d if end == d else max((m.start() for m in BLANK.finditer(text, c + 1, end)), default=-1)
+        if start >= 0 and (end > c or end == d):
+            pieces_ = vocabulary.split(text[start:end])
+            ids = vocabulary.ids_of(pieces_)
+            if start == a and end == d:
+                return a, d, b"".join(ids)
+            own, new, theirs = _three(pieces_, ids, b - start, c - start)
+            if own is not None and before.endswith(own) and after.startswith(theirs):
+                return a, d, b"".join([before, new, after])
+        wide *= 4
+
+
+def _three(pieces_: list[str], ids: list[bytes], first: int, second: int) -> tuple[bytes | None, bytes, bytes]:
+    """The ids up to place ``first``, from there to ``second``, and after it; None if a piece lies across one of the places."""
+    ends = np.cumsum([0, *map(len, pieces_)])
+    i, j = (int(np.searchsorted(ends, x)) for x in (first, second))
+    if ends[i] != first or ends[j] != second:
+        return None, b"", b""
+    return b"".join(ids[:i]), b"".join(ids[i:j]), b"".join(ids[j:])
+
+
+def stitched(text: str, known: list[tuple[int, int, bytes]], vocabulary: Pieces) -> bytes:
+    """Ids of a whole text from those of some of its cores (start, end, ids)."""
+    # What is empty agrees with anything, so the ends of the text are cores of their own.
+    parts = [(0, 0, b""), *known, (len(text), len(text), b"")]
+    if len(known) == 0:
+        return vocabulary.encode([text])[0]
+    out, (a, b, ids) = [], parts[0]
+    for part in parts[1:]:
+        # Ids that no later repair can reach are put aside; a core never needs more than its own text.
+        a, b, joined = repaired(text, (a, b, ids), part, vocabulary)
+        kept = len(joined) - len(part[2])
+        if part[2] and joined.endswith(part[2]):
+            out.append(joined[:kept])
+            a, b, ids = part
+        else:
+            ids = joined
+    return b"".join([*out, ids])
+
+
+def _assembled(path: str, decoded: bool):
     def run(batches):
         vocabulary = Pieces(path)
+        read = vocabulary.decoder() if decoded else None
         for row in rows_of(batches):
             texts, numbers = _unpack_texts(row["texts"]), np.frombuffer(row["ids"], "<i8")
             shared = [[] for _ in texts]
             for s in sorted(row["shared"] or [], key=lambda s: s["place"]):
                 c = row["cores"][s["place"]]
                 shared[c["doc"]].append((c["start"], c["end"], s["core_ids"]))
-            ids = stitched(texts, shared, vocabulary)
-            wide = [i if vocabulary.type.itemsize == 4 else np.frombuffer(i, "<u2").astype("<u4").tobytes() for i in ids]
-            step = max(1, len(texts) // 8)
-            for k in range(0, len(texts), step):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[k:k + step]), pa.array(wide[k:k + step], pa.binary())], ["_id", "ids"])
+            start, ids, held = 0, [], 0
+            for k, (text, known) in enumerate(zip(texts, shared)):
+                found = stitched(text, known, vocabulary)
+                ids.append(found if vocabulary.type.itemsize == 4 else np.frombuffer(found, "<u2").astype("<u4").tobytes())
+                held += len(text)
+                if held >= BATCH_BYTES or k + 1 == len(texts):
+                    columns = [pa.array(numbers[start:k + 1]), pa.array(ids, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array([read(np.frombuffer(i, "<u4").tolist()) for i in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "text"][:len(columns)])
+                    start, ids, held = k + 1, [], 0
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row: token ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row: token ids as little-endian unsigned 32-bit integers; with ``decoded`` also the text that they give.
 
     ``path`` is a byte-level file of the tokenizers library that executors can read. A null text is empty and
     has no ids. Ids of rows are whole numbers and only carried: repeated rows stay, a null stays null.
-    Other columns are not read. An empty table gives no rows.
+    Other columns are not read. Texts of any length are encoded whole. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     null = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(null)).alias("_id"), text_of(text).alias("_text"))
     # Every use reads all columns, so that they share one exchange and the texts are cut once.
-    packed = source.mapInArrow(_packed, PACKED).repartition("block")
+    packed = source.mapInArrow(_packed(path), PACKED).repartition("block")
     references = packed.mapInArrow(_references, "digest binary, block bigint, place int")
     groups = references.groupBy("digest").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("block", "place")).alias("first")).filter("_n > 1")
@@ -177,8 +230,9 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     known = once.join(sizes.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest")).drop("_digest")
     sent = join_groups(references, known, "digest", "place", "inner", sizes).groupBy("block").agg(
         F.collect_list(F.struct("place", "core_ids")).alias("shared"))
-    whole = packed.join(sent, "block", "left").mapInArrow(_assembled(path), "_id bigint, ids binary")
-    return whole.select(F.nullif("_id", F.lit(null)).alias(id), "ids")
+    whole = packed.join(sent, "block", "left").mapInArrow(
+        _assembled(path, decoded), "_id bigint, ids binary" + ", text string" * decoded)
+    return whole.withColumn("_id", F.nullif("_id", F.lit(null))).withColumnRenamed("_id", id)
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:

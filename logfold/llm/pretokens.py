@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The same for texts without numerals other than digits and without separators that only Python calls white space.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
-CACHED = 150_000
+# Bytes of pieces and their ids that a task keeps, about.
+CACHED_BYTES, ENTRY_BYTES = 24 << 20, 200
 
 # Byte-level vocabularies write bytes as characters: printable ones as they are, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +55,11 @@ class Splitter:
         return out
 
 
+def special_tokens(path: str) -> list[str]:
+    """The strings that the library looks for in texts before all else."""
+    return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
 class Pieces:
     """A vocabulary file of the tokenizers library, with byte-level pre-tokens."""
 
@@ -65,6 +71,7 @@ class Pieces:
         self.split = Splitter(list(self.special))
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._ids: dict[str, bytes] = {}
+        self._held = 0
 
     def _encoded(self, pieces: list[str]):
         """Ids of each piece, by the model alone: pieces need no cutting any more."""
@@ -79,16 +86,21 @@ class Pieces:
         """How many tokens each piece gives."""
         return [len(ids) for ids in self._encoded(pieces)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``type``."""
-        if len(self._ids) > CACHED:
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as little-endian integers of ``type``."""
+        if self._held > CACHED_BYTES:
             self._ids.clear()
-        split = [self.split(t) for t in texts]
-        new = list(set().union(*split).difference(self._ids)) if split else []
+            self._held = 0
+        known = self._ids
+        new = list(set(pieces).difference(known))
         for piece, found in zip(new, self._encoded(new)):
-            self._ids[piece] = np.array(found, self.type).tobytes()
-        ids = self._ids
-        return [b"".join([ids[p] for p in pieces]) for pieces in split]
+            known[piece] = np.array(found, self.type).tobytes()
+            self._held += ENTRY_BYTES + 2 * len(piece)
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``type``."""
+        return [b"".join(self.ids_of(self.split(t))) for t in texts]
 
     def decoder(self):
         """A function from ids to text. Bytes that are no UTF-8 become replacement characters, as in the library."""

@@ -53,7 +53,7 @@ def op6_quality_rules(spark, sf_dir):
 def op7_bpe_round_trip(spark, sf_dir):
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.encode(docs, path, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
 
