@@ -8,13 +8,13 @@ principle all pairs that differ in at most 17 symbols meet under a key. Pairs th
 `symbols_apart` symbols, never more than those 17, are confirmed on their full sets. That distance follows from
 the similarity: 14 at 85 % and 17 at 80 %, where a pair at the threshold is lost about once in 9,600 and 18,000.
 
-Texts with equal word sequences have equal sets and are first made one class. A key is worked off in
-rounds that never list its pairs. In a round, a class looks at the LEADERS next smaller classes of each key, passes
-those of its own component and those that are too far apart, and proposes the first other one. Of what its keys propose it
-tests the smallest class of each component, as a link to any member is enough; the number of tests per component
-doubles from round to round, for the few that fail. Then components are joined, and what lies in between two classes of
-one component is never tested. A round has a row per class and key, and the rounds end when every class has
-passed all smaller ones of its keys.
+Texts with equal word sequences have equal sets and are first made one class. What meets is never listed in pairs.
+Groups of near copies are joined first: in a round, a class looks at the LEADERS smallest classes of each key, passes
+those of its own component and those that are too far apart, and is tested with the smallest others that its keys
+then show, as one link is enough; after each round components are joined, and rounds go on with more tests for a class while
+tests find links. Then keys that still have several components are swept: the classes outside of a key's largest
+component, SWEPT at a time, meet those of other components in tasks of GROUP_ROWS classes, each pair under the first key that
+it shares. What tasks give out are links alone. Two classes of one component are never tested.
 """
 
 import hashlib
@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.llm import shingles
@@ -36,10 +36,13 @@ SIMILARITY_PERCENT = 85
 SURE_APART = 2 * (shingles.SYMBOLS // shingles.CHUNK) - 1
 # Share of pairs at the threshold whose signatures may differ by more.
 LOSS = 1.1e-4
-# Classes of a key that each other one looks at in a round.
-LEADERS = 64
-# Tests of a class with one component in a round, at most; the first round makes one.
-MOST_TESTS = 32
+# Classes of a key that the others look at in the rounds that join groups of near copies, and tests of a class in them.
+LEADERS = 8
+TESTS = (1, 2, 4, 8, 16)
+# Classes of a key that lead in a sweep, and those that one task compares them with.
+SWEPT, GROUP_ROWS = 512, 512
+# Rounds go on while so many of the tests find a link.
+WORTH = 0.2
 RESULTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -83,27 +86,32 @@ def _indexed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "class_id"])
 
 
+def _sets(batches):
+    """(class_id, shingles) of texts: the full sets, in order, as bytes."""
+    for batch in pieces(batches, "text"):
+        sets = shingles.shingle_sets(_texts(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["class_id", "shingles"])
+
+
 def _confirmed(percent: int):
     """Pairs whose full sets are similar enough."""
     def run(batches):
-        for batch in pieces(pieces(batches, "text_a"), "text_b"):
-            # A class that many others meet comes many times.
-            both = _texts(batch.column("text_a")) + _texts(batch.column("text_b"))
-            place = {t: k for k, t in enumerate(dict.fromkeys(both))}
-            sets = shingles.shingle_sets(list(place))
-            n = batch.num_rows
-            linked = [shingles.similar(sets[place[both[i]]], sets[place[both[n + i]]], percent) for i in range(n)]
+        for batch in pieces(pieces(batches, "set_a"), "set_b"):
+            linked = [
+                shingles.similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("set_a"), batch.column("set_b"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def _links(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked.
 
     A class is ``b`` of few pairs of a round; it can be ``a`` of any number.
     """
-    one, two = (texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
+    one, two = (sets.select(F.col("class_id").alias(side), F.col("shingles").alias(f"set_{side}")) for side in "ab")
     sizes = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     read = join_groups(near.join(two, "b"), sizes.join(one, "a"), "a", "b", "inner", sizes).drop("_n")
     return stored(read.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
@@ -117,34 +125,150 @@ def _components_of(rows: DataFrame, components: DataFrame | None, column: str =
     return joined.withColumn("component", F.coalesce("component", column))
 
 
-def _open_rows(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Rows with component, of the keys that have several and in which some class is not done; without those that all have passed."""
-    rows = _components_of(rows, components)
-    keys = rows.groupBy("key").agg(
+def _opened(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Rows with component and _n, of the keys that have several components."""
+    rows = _components_of(rows.drop("component", "_n"), components)
+    keys = stored(rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"),
-        F.min(F.when(~F.col("done"), F.col("passed"))).alias("base"),
-    ).filter("_lo <> _hi and base is not null").select("key", "_n", "base")
-    return join_groups(rows, keys, "key", "class_id", "inner").filter("not done or class_id > base")
+    ).filter("_lo <> _hi").select("key", "_n"), "several")
+    opened = stored(join_groups(rows, keys, "key", "class_id", "inner"), "open")
+    forget(keys)
+    return opened
+
+
+def _beside_leaders(rows: DataFrame, leaders: DataFrame, near, name: str) -> DataFrame:
+    """``near(row, first)`` of every row, ``first`` being the leaders of its key in order; stored."""
+    groups = stored(leaders.groupBy("key").agg(
+        F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "signature", "component"))).alias("first")), "leaders")
+    found = stored(near(join_groups(rows.drop("_n"), groups, "key", "class_id", "inner")), name)
+    forget(groups)
+    return found
+
 
+def _may_be_linked(leader: Column, most_apart: int) -> Column:
+    """True for leaders of other components within the distance."""
+    differs = F.filter(F.zip_with(leader["signature"], "signature", lambda x, y: x != y), lambda d: d)
+    return (leader["component"] != F.col("component")) & (F.size(differs) <= most_apart)
 
-def _proposed(rows: DataFrame, most_apart: int, tests: int) -> DataFrame:
-    """Rows with ``a``, the next smaller class of their key that may be near and is of another component, whether it is tested now, and what is passed then."""
+
+def _smallest_near(opened: DataFrame, tried: DataFrame | None, most_apart: int, tests: int) -> DataFrame:
+    """Pairs (a, b): every class b with the smallest others that its keys show it first, beyond those it was tested with."""
     place = F.row_number().over(Window.partitionBy("key").orderBy("class_id"))
-    few = rows.filter("class_id > base").withColumn("_place", place).filter(F.col("_place") <= LEADERS)
-    groups = few.groupBy("key").agg(
-        F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("class_id", "signature", "component"))).alias("first"))
-    apart = lambda f: F.size(F.filter(F.zip_with(f["signature"], "signature", lambda x, y: x != y), lambda differs: differs))
-    near = F.filter("first", lambda f: ~F.col("done") & (f["class_id"] > F.col("passed")) & (f["class_id"] < F.col("class_id"))
-                    & (f["component"] != F.col("component")) & (apart(f) <= most_apart))
-    led = join_groups(rows.drop("_n"), groups, "key", "class_id", "inner")
-    led = led.withColumns({"_near": F.get(near, F.lit(0)), "_last": F.element_at("first", -1)["class_id"]})
-    led = led.select(
-        "key", "class_id", "signature", "passed", "done", F.col("_near.class_id").alias("a"), F.col("_near.component").alias("of"),
-        F.when((F.size("first") == LEADERS) & (F.col("_last") < F.col("class_id")), F.col("_last")).alias("further"))
-    smallest = F.dense_rank().over(Window.partitionBy("class_id", "of").orderBy("a"))
-    led = led.withColumn("tested", F.col("a").isNotNull() & (smallest <= tests))
-    after = F.when(F.col("a").isNotNull(), F.when(F.col("tested"), F.col("a")).otherwise(F.col("a") - 1)).otherwise(F.coalesce("further", "passed"))
-    return led.select("key", "class_id", "signature", after.alias("passed"), (F.col("a").isNull() & F.col("further").isNull()).alias("done"), "a", "tested")
+    leaders = opened.withColumn("_place", place).filter(F.col("_place") <= LEADERS)
+    rows = opened.withColumn("tried", F.lit(None).cast("bigint")) if tried is None else opened.join(tried, "class_id", "left")
+
+    def first_near(led):
+        later = lambda f: (f["class_id"] < F.col("class_id")) & (F.col("tried").isNull() | (f["class_id"] > F.col("tried")))
+        near = F.filter("first", lambda f: later(f) & _may_be_linked(f, most_apart))
+        return led.select("class_id", F.get(near, F.lit(0))["class_id"].alias("a")).filter("a is not null")
+
+    shown = _beside_leaders(rows, leaders, first_near, "shown")
+    # A class has a few keys, so this is a short list.
+    chosen = shown.groupBy(F.col("class_id").alias("b")).agg(F.slice(F.sort_array(F.collect_set("a")), 1, tests).alias("near"))
+    pairs = stored(chosen.select(F.explode("near").alias("a"), "b"), "near")
+    forget(shown)
+    return pairs
+
+
+def _ranked(opened: DataFrame) -> DataFrame:
+    """Rows with ``place``, their number among those of their key outside of its largest component; null within it."""
+    counts = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_c"))
+    main = counts.groupBy("key").agg(F.max("_c").alias("_n"), F.max_by("component", F.struct("_c", "component")).alias("main"))
+    sizes = stored(opened.groupBy("key").agg(F.max("_n").alias("_n")).join(main.drop("_n"), "key"), "main")
+    rows = join_groups(opened.drop("_n"), sizes, "key", "class_id", "inner")
+    outside = F.col("component") != F.col("main")
+    place = F.row_number().over(Window.partitionBy("key", "_outside").orderBy("class_id"))
+    rows = rows.withColumn("_outside", outside).withColumn("place", F.when(F.col("_outside"), place))
+    ranked = stored(rows.select("key", "class_id", "signature", "place"), "ranked")
+    forget(sizes)
+    return ranked
+
+
+def _meeting_keys(differs: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One of the index's keys under which pairs meet, by their differing symbols: the next one from a number on that spreads pairs over keys."""
+    parts = differs.reshape(len(differs), -1, shingles.CHUNK)
+    wrong = parts.sum(2, keepdims=True)
+    # A key leaves one symbol of its chunk open; all others are equal.
+    meet = (wrong - parts == 0).reshape(len(differs), -1)
+    after = (np.arange(meet.shape[1]) - start[:, None]) % meet.shape[1]
+    return np.where(meet, after, meet.shape[1]).argmin(1)
+
+
+class _Leaders:
+    """Classes of a key with their sets, and for every shingle which of them have it."""
+
+    def __init__(self, ids, of, signs, sets):
+        self.ids, self.of, self.signs, self.sizes = ids, of, signs, np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self._flat, self._owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles each of them has in common with a set."""
+        low, high = (np.searchsorted(self._flat, own, side) for side in ("left", "right"))
+        n = high - low
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.bincount(self._owner[at], minlength=len(self.ids))
+
+
+def _linked_in(most_apart: int, percent: int):
+    """Links between the classes of keys and their leaders (two frames of the same keys)."""
+    def columns(table):
+        table = table.sort_by([("key", "ascending"), ("class_id", "ascending")])
+        signs = np.asarray(table.column("signature").combine_chunks().flatten()).view(np.uint16).reshape(-1, shingles.SYMBOLS)
+        keys = np.asarray(table.column("key"))
+        cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)), len(keys))
+        return {
+            int(keys[a]): (np.asarray(table.column("class_id"))[a:b], np.asarray(table.column("component"))[a:b], signs[a:b],
+                           [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").slice(a, b - a)],
+                           table.column("place").is_null().to_numpy()[a:b])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+        }
+
+    def run(_, rows, leading):
+        out = []
+        led_of_key = columns(leading) if leading.num_rows else {}
+        for key, (ids, of, signs, sets, main) in (columns(rows) if rows.num_rows and led_of_key else {}).items():
+            if key not in led_of_key:
+                continue
+            here, leaders = key >> (shingles.SYMBOL_BITS * (shingles.CHUNK - 1)), None
+            led, led_of, led_signs, led_sets, _main = led_of_key[key]
+            for i, own in enumerate(ids.tolist()):
+                # Of two classes outside of the largest component, the smaller one leads.
+                at = np.flatnonzero((led_of != of[i]) & (main[i] | (led < own)))
+                differs = led_signs[at] != signs[i]
+                near = differs.sum(1) <= most_apart
+                at, differs = at[near], differs[near]
+                at = at[_meeting_keys(differs, (led[at] ^ own) % (shingles.SYMBOLS)) == here] if len(at) else at
+                if not len(at):
+                    continue
+                leaders = leaders or _Leaders(led, led_of, led_signs, led_sets)
+                both = leaders.shared(sets[i])[at]
+                at = at[100 * both >= percent * (leaders.sizes[at] + len(sets[i]) - both)]
+                # A link to any member of a component is enough.
+                for k in at[np.unique(led_of[at], return_index=True)[1]].tolist():
+                    out.append((min(own, int(led[k])), max(own, int(led[k]))))
+        return pa.table({c: pa.array([pair[n] for pair in out], pa.int64()) for n, c in enumerate("ab")})
+
+    return run
+
+
+def _swept(opened: DataFrame, sets: DataFrame, first: int, most_apart: int, percent: int) -> DataFrame:
+    """Links (a, b) of the next leaders by place with all other classes of their keys.
+
+    Large keys are dealt to several tasks, small ones share one.
+    """
+    tasks = F.ceil(F.col("_n") / GROUP_ROWS).cast("int")
+    groups = max(1, opened.count() // GROUP_ROWS)
+    opened = opened.withColumn("slot", F.when(tasks > 1, F.col("key")).otherwise(-1 - F.pmod(F.xxhash64("key"), F.lit(groups))))
+    rows = opened.withColumn("part", F.pmod(F.xxhash64("class_id"), tasks).cast("int")).join(sets, "class_id")
+    leaders = opened.filter((F.col("place") > first) & (F.col("place") <= first + SWEPT)).join(sets, "class_id")
+    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    # The same rows on both sides are told apart by new names for the columns.
+    columns = ["slot", "part", "key", "class_id", "component", "signature", "place", "shingles"]
+    leaders = leaders.select([F.col(c).alias(c) for c in columns])
+    both = rows.select(columns).groupBy("slot", "part").cogroup(leaders.groupBy("slot", "part"))
+    return stored(both.applyInArrow(_linked_in(most_apart, percent), "a bigint, b bigint"), "links")
 
 
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -180,27 +304,47 @@ def near_components(docs: DataFrame, id: str, text: str, percent: int = SIMILARI
 
     # A class has as many keys as the index; signatures go only to those that are open.
     index = classes.select("class_id", "signature").mapInArrow(_indexed, "key bigint, class_id bigint").distinct()
-    start = {"passed": F.lit(-(1 << 63)), "done": F.lit(False)}
-    rows = _open_rows(index.withColumns(start), components).select("key", "class_id", "passed", "done")
-    rows = stored(rows.join(classes.select("class_id", "signature"), "class_id"), "keys")
-    forget(classes)
-    texts = stored(source.withColumnRenamed("_id", "class_id").join(rows.select("class_id").distinct(), "class_id", "left_semi")
-                   .select("class_id", F.col("_text").alias("text")), "texts")
-    tests = 1
-    while True:
-        opened = stored(_open_rows(rows, components), "open")
+    opened = _opened(index, components)
+    rows = stored(opened.select("key", "class_id").join(classes.select("class_id", "signature"), "class_id"), "keys")
+    forget(opened, classes)
+    texts = source.withColumnRenamed("_id", "class_id").join(rows.select("class_id").distinct(), "class_id", "left_semi")
+    # Rows that repeat an id can have several texts, and so sets: links of any are links of the document.
+    sets = stored(texts.select("class_id", F.col("_text").alias("text")).mapInArrow(_sets, "class_id bigint, shingles binary")
+                  .distinct(), "sets")
+    apart, tried = symbols_apart(percent), None
+    for tests in TESTS:
+        opened = _opened(rows, components)
         forget(rows)
-        if opened.isEmpty():
+        rows = opened
+        near = _smallest_near(opened, tried, apart, tests)
+        number = near.count()
+        if not number:
+            forget(near)
+            break
+        links = _links(near, sets, percent)
+        enough = links.count() >= WORTH * number
+        components = _joined(components, links)
+        if tried is not None:
+            forget(tried)
+        # What is left out here is found by the sweeps.
+        tried = stored(near.groupBy(F.col("b").alias("class_id")).agg(F.max("a").alias("tried")), "tried")
+        forget(near, links)
+        if not enough:
+            break
+
+    opened = _opened(rows, components)
+    forget(rows)
+    rows, first = _ranked(opened), 0
+    forget(opened)
+    while True:
+        opened = _opened(rows.filter(F.col("place").isNull() | (F.col("place") > first)), components)
+        if opened.filter(F.col("place") > first).isEmpty():
             break
-        rows = stored(_proposed(opened, symbols_apart(percent), tests), "rows")
-        near = stored(rows.filter("tested").select("a", F.col("class_id").alias("b")).distinct(), "near")
-        if not near.isEmpty():
-            links = _links(near, texts, percent)
-            components = _joined(components, links)
-            forget(links)
-        forget(opened, near)
-        tests = min(2 * tests, MOST_TESTS)
-    forget(opened, texts)
+        links = _swept(opened, sets, first, apart, percent)
+        components = _joined(components, links)
+        forget(opened, links)
+        first += SWEPT
+    forget(opened, rows, sets)
 
     found = _components_of(known, components)
     return found.select("_id", "n_shingles", F.col("component").alias("component_id"))
