@@ -4,6 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 with their own columns; the last returns one row per packed piece. Stages are written as Parquet in between.
 """
 
+from pyspark.sql import functions as F
+
 from logfold.llm.common import shared_folder, table
 from logfold.llm.exact_dedup import exact_dedup
 from logfold.llm.minhash_dedup import minhash_dedup
@@ -17,8 +19,12 @@ NEAR_PERCENT = 80
 
 
 def keep_good(spark, docs, sf_dir):
-    """Documents that the quality rules do not reject."""
-    return quality_rules(docs.selectExpr("struct(*) as _doc", "text"), carry=["_doc"]).filter("kept").select("_doc.*")
+    """Documents that the quality rules do not reject, without the lines that they remove; ``n_chars`` follows the text."""
+    rows = quality_rules(docs.selectExpr("struct(*) as _doc", "text"), carry=["_doc"]).filter("kept")
+    clean = F.col("_doc").withField("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        clean = clean.withField("n_chars", F.char_length("clean_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(clean.alias("_doc")).select("_doc.*")
 
 
 def drop_copies(spark, docs, sf_dir):
