@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from logfold.functions.parse import log_lines, timestamp_of, with_fields
 from logfold.plans.scan import BITS, BUCKET, attach, before, carry, gather_tails, in_bucket, not_null, spread, stitch
-from logfold.plans.size import little_text, small_side
 from logfold.schema import LOG_COLUMNS
 
 # What marks an app restart.
@@ -220,20 +219,28 @@ def ingest(lines: DataFrame, package: str | None = None, targets: DataFrame | No
     )
 
 
-def merge_pieces(pieces: DataFrame) -> DataFrame:
-    """Put the pieces of chained runs together into whole records (`schema.LOGS`).
+def with_continued(whole: DataFrame, continued: DataFrame, small: bool) -> DataFrame:
+    """Records (`schema.LOGS`) with the text that later runs went on appending to them.
 
-    Few records go on from one run into the next, so the text to append is
-    usually small enough, by a check of its size, to leave the records in place.
+    ``continued`` has device, id, batch, seq and message: one row per device and run at most, as only a device's
+    newest record can go on. ``small`` says that its text fits a broadcast. Else its keys do, and only the few
+    records that have such a key meet the text in a shuffle; the others stay in place.
     """
-    continued = pieces.filter("continues")
-    more = continued.groupBy("device", "id").agg(
-        _text(F.collect_list(F.struct("batch", "seq", F.col("message").alias("msg")))).alias("more")
-    )
-    small = little_text(continued, "message")
-    whole = pieces.filter(~F.col("continues")).join(small_side(more, small), ["device", "id"], "left")
     message = F.concat_ws("\n", "message", "more").alias("message")
-    return whole.select(*[message if c == "message" else F.col(c) for c in LOG_COLUMNS])
+    more = continued.groupBy("device", "id").agg(
+        _text(F.collect_list(F.struct("batch", "seq", F.col("message").alias("msg")))).alias("more"))
+    put_together = lambda rows, side: rows.join(side, ["device", "id"], "left").select(
+        *[message if c == "message" else F.col(c) for c in LOG_COLUMNS])
+    if small:
+        return put_together(whole, F.broadcast(more))
+    keys = F.broadcast(continued.select("device", "id").distinct())
+    affected = put_together(whole.join(keys, ["device", "id"], "left_semi"), more)
+    return affected.unionByName(whole.join(keys, ["device", "id"], "left_anti").select(*LOG_COLUMNS))
+
+
+def merge_pieces(pieces: DataFrame, small: bool = False) -> DataFrame:
+    """Put the pieces of chained runs together into whole records (`schema.LOGS`); see `with_continued`."""
+    return with_continued(pieces.filter(~F.col("continues")), pieces.filter("continues"), small)
 
 
 def next_position(pieces: DataFrame, position: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 250_000
-MAX_BROADCAST_BYTES = 64 << 20
+# Bytes of compressed files whose contents are broadcast.
+MAX_BROADCAST_BYTES = 8 << 20
 
 
 def few_rows(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -12,12 +13,6 @@ def few_rows(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def little_text(df: DataFrame, column: str) -> bool:
-    """True if a text column fits a broadcast by both rows and bytes."""
-    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
-    return size["rows"] <= MAX_BROADCAST_ROWS and size["bytes"] <= MAX_BROADCAST_BYTES
-
-
 def small_side(df: DataFrame, small: bool) -> DataFrame:
     """The frame, marked for broadcast where its size was checked; else Spark joins by shuffle."""
     return F.broadcast(df) if small else df

@@ -1,5 +1,7 @@
 """Registered queries over the test tables, each next to the SQL that must agree with it."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from logfold.functions.parse import parse_lines, rejected_lines
@@ -7,7 +9,7 @@ from logfold.operators import report
 from logfold.operators.fold import fold_logs, fold_runs
 from logfold.operators.ingest import accept_lines, drop_late, ingest, sessionize
 from logfold.operators.lookup import contexts, log_context, log_count, matching, query_logs, search_logs
-from logfold.operators.retention import RetentionPolicy, apply_retention, keep_rows, keep_sessions
+from logfold.operators.retention import RetentionPolicy, apply_retention, keep_rows, keep_sessions, policy_errors
 from logfold.operators.summaries import (
     error_summary, error_summary_all, last_timestamp, session_count, sessions, status, tag_summary, tag_summary_all,
     total_count,
@@ -18,13 +20,15 @@ from logfold.sources.tables import (
     DUCKDB_TS, PACKAGE, RAW_LINES, captured_lines, document_lines, document_logs, event_lines, event_logs, scratch, table,
     write_text,
 )
-from logfold.streaming.ingest import start_ingest, stored_logs
+from logfold.streaming.cleanup import Cleaner
+from logfold.streaming.ingest import ingest_batch, last_batch, start_ingest, state_after, stored_logs
 
 LINE_COLUMNS = ["device", "seq", "ts", "level", "tag", "pid", "tid", "msg"]
 DEVICE = "dev1"
 CHANGES = [("dev0", 2000, "com.other"), ("dev2", 0, "com.other"), ("dev2", 5000, ""), ("dev3", 3000, "com.other")]
 STREAM_PARTS = 4
 CONTEXT = 3
+POLICY = RetentionPolicy(max_logs=150, max_sessions=10, cleanup_interval=30)
 
 RAW = "raw AS (" + RAW_LINES.format(ts=DUCKDB_TS, events="events") + ")"
 PARSED = """p AS (SELECT seq, device, value, m.a ts, coalesce(try_cast(m.b as bigint),0) pid, coalesce(try_cast(m.c as bigint),0) tid,
@@ -116,20 +120,85 @@ def _read_lines(spark, sf):
     return numbered.select("device", "line_no", "value")
 
 
-def _stream(spark, sf):
-    """Captured text arriving in several batches."""
-    lines = event_lines(spark, sf)
-    folder, out = scratch(spark, "arriving"), scratch(spark, "stream")
+def _arrivals(spark, sf, out, after=None):
+    """Captured text arriving in several batches, as a rotating capture hands it over."""
+    lines, folder = event_lines(spark, sf), scratch(spark, "arriving")
     step = lines.agg(F.max("seq")).first()[0] // STREAM_PARTS + 1
     for part in range(STREAM_PARTS):
-        # Handed over part by part, as a rotating capture would.
         chunk = lines.filter((F.col("seq") >= part * step) & (F.col("seq") < (part + 1) * step))
         write_text(chunk, folder)
-        query = start_ingest(stream_lines(spark, folder), out, f"{out}/checkpoint", PACKAGE, availableNow=True)
+        query = start_ingest(stream_lines(spark, folder), out, f"{out}/checkpoint", PACKAGE, after=after, availableNow=True)
         query.awaitTermination()
+
+
+def _stream(spark, sf):
+    out = scratch(spark, "stream")
+    _arrivals(spark, sf, out)
+    return stored_logs(spark, out)
+
+
+def _retention_stream(spark, sf):
+    """Batches with a cleanup after each: the clock is one interval further at every batch."""
+    out, now = scratch(spark, "cleaned"), [0.0]
+    cleaner = Cleaner(spark, out, POLICY, lambda: now[0])
+
+    def after(batch):
+        now[0] += POLICY.cleanup_interval
+        cleaner(batch)
+        cleaner.wait()
+
+    _arrivals(spark, sf, out, after)
     return stored_logs(spark, out)
 
 
+def _cleared(spark, sf):
+    """(folder before, folder after) of all lines ingested and then cleared."""
+    old, new = scratch(spark, "full"), scratch(spark, "cleared")
+    ingest_batch(event_lines(spark, sf), old, 0, PACKAGE)
+    report.clear_report(spark, old, last_batch(spark, old), new)
+    return old, new
+
+
+def _cleared_logs(spark, sf):
+    """Records per device before and after a clear."""
+    old, new = _cleared(spark, sf)
+    left = stored_logs(spark, new).groupBy("device").agg(F.count("*").alias("left"))
+    before = stored_logs(spark, old).groupBy("device").agg(F.count("*").alias("before"))
+    return before.join(left, "device", "left").select("device", "before", F.coalesce("left", F.lit(0)).alias("left"), F.lit(report.CLEARED).alias("text"))
+
+
+def _clear_then_ingest(spark, sf):
+    """The same lines once more after a clear: records of any timestamp are taken, ids and sessions go on."""
+    _, new = _cleared(spark, sf)
+    ingest_batch(event_lines(spark, sf), new, 0, PACKAGE)
+    return stored_logs(spark, new)
+
+
+def _reset_positions(spark, sf):
+    """Where ingest stands after a clear."""
+    _, new = _cleared(spark, sf)
+    position = state_after(spark, new, -1).position
+    return position.select("device", "last_ts", "session_id", "last_id", F.col("last_key").isNull().alias("starts_new"))
+
+
+def _policies(spark, sf):
+    """Policies made of the numbers of each session, and what setting them says."""
+    numbers = sessions(event_logs(spark, sf)).select(
+        "device", "session_id", (F.col("rows") * 4).alias("max_logs"), (F.col("session_id") % 4).alias("max_sessions"),
+        (F.col("rows") % 9).alias("cleanup_interval"))
+    return policy_errors(numbers)
+
+
+def _empty_reports(spark, sf):
+    """Reports that find nothing: a level that no record has, a text in no message, an id beyond all, a device without records."""
+    logs = event_logs(spark, sf)
+    found = {
+        "query": report.query_report(logs, DEVICE, level="X", fold=False), "search": report.search_report(logs, DEVICE, "no such text"),
+        "context": report.context_report(logs, DEVICE, 1 << 40), "errors": report.error_report(logs, "absent"), "tags": report.tag_report(logs, "absent"),
+    }
+    return reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(kind).alias("kind"), "text") for kind, df in found.items()])
+
+
 # name: (query, SQL). A query without SQL has None.
 REGISTERED = {
     "read_lines": (
@@ -173,6 +242,37 @@ REGISTERED = {
         + NUMBERED.format(package="package", taken="aimed") + f", {LOGS} SELECT {LOG_COLUMNS} FROM logs",
     ),
     "stream_ingest": (_stream, f"{LOGS_CTE} SELECT {LOG_COLUMNS} FROM logs"),
+    "retention_stream": (_retention_stream, f"{LOGS_CTE}, {top_sessions(10)} {top_rows(150, 'kept')}"),
+    "cleared_logs": (
+        _cleared_logs,
+        f"""{LOGS_CTE} SELECT device, count(*) AS "before", cast(0 AS BIGINT) AS "left", 'All logs have been cleared successfully (DB and Device).' AS text
+          FROM logs GROUP BY device""",
+    ),
+    "clear_then_ingest": (
+        _clear_then_ingest,
+        f"""{LOGS_CTE}, o AS (SELECT device, max(id) i, max(session_id) s FROM logs GROUP BY device)
+          SELECT logs.device, id + i AS id, session_id + s AS session_id, "timestamp", "level", tag, pid, tid, message FROM logs JOIN o ON logs.device = o.device""",
+    ),
+    "reset_positions": (
+        _reset_positions,
+        f"{LOGS_CTE} SELECT device, '' AS last_ts, max(session_id) AS session_id, max(id) AS last_id, true AS starts_new FROM logs GROUP BY device",
+    ),
+    "policy_errors": (
+        _policies,
+        f"""{LOGS_CTE}, pol AS (SELECT device, session_id, count(*) * 4 AS max_logs, session_id % 4 AS max_sessions, count(*) % 9 AS cleanup_interval
+          FROM logs GROUP BY device, session_id) SELECT *, CASE WHEN max_logs < 100 THEN 'max_logs must be at least 100'
+          WHEN max_sessions < 1 THEN 'max_sessions must be at least 1' WHEN cleanup_interval < 5 THEN 'cleanup_interval must be at least 5 seconds' END AS error FROM pol""",
+    ),
+    "empty_reports": (
+        _empty_reports,
+        f"""{LOGS_CTE}, n AS (SELECT count(*) FILTER (WHERE device = '{DEVICE}' AND "level" = 'X') q, count(*) FILTER (WHERE device = '{DEVICE}'
+          AND contains(lower(message), 'no such text')) s, count(*) FILTER (WHERE device = '{DEVICE}' AND id > 1000000000) c, count(*) FILTER (WHERE device = 'absent') a FROM logs)
+          SELECT 'query' AS kind, 'No logs found matching criteria in the current session.' AS text FROM n WHERE q = 0
+          UNION ALL SELECT 'search', 'No logs found matching the query.' FROM n WHERE s = 0
+          UNION ALL SELECT 'context', 'Log entry not found.' FROM n WHERE c = 0
+          UNION ALL SELECT 'errors', 'No errors found in current session.' FROM n WHERE a = 0
+          UNION ALL SELECT 'tags', 'No logs found in current session.' FROM n WHERE a = 0""",
+    ),
     "error_summary": (
         lambda spark, sf: error_summary(event_logs(spark, sf), DEVICE),
         f'{LOGS_CTE} SELECT max(id) last_id, tag, message, count(*) AS "count" FROM logs WHERE {CURRENT} AND {ERRORS} '

@@ -7,7 +7,7 @@ path. Files of a device are read in order of their path.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfold.plans.size import few_rows, small_side
+from logfold.plans.size import MAX_BROADCAST_ROWS, few_rows, small_side
 
 # Every file gets as many positions as it has bytes plus one full partition,
 # since a row number counts within its partition.
@@ -30,7 +30,7 @@ def _text(reader, path: str, device: str | None) -> DataFrame:
     )
 
 
-def _with_seq(df: DataFrame, files: DataFrame) -> DataFrame:
+def _with_seq(df: DataFrame, files: DataFrame, small: bool | None = None) -> DataFrame:
     """Number the lines in order of (path, offset) without sorting or counting them.
 
     ``seq`` = first position of the file + offset of the split + row number in
@@ -41,7 +41,7 @@ def _with_seq(df: DataFrame, files: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     base = files.select("_path", "_base")
     numbered = df.withColumn("_row", row)
-    joined = numbered.join(small_side(base, few_rows(base)), "_path", "left")
+    joined = numbered.join(small_side(base, few_rows(base) if small is None else small), "_path", "left")
     return joined.select("device", (F.col("_base") + F.col("_start") + F.col("_row")).alias("seq"), "value")
 
 
@@ -72,7 +72,12 @@ def stream_lines(spark: SparkSession, path: str, device: str | None = None, **op
 
 def batch_lines(batch: DataFrame) -> DataFrame:
     """One micro-batch of `stream_lines` as (device, seq, value)."""
-    return _with_seq(batch, _bases(batch.select("device", "_path", "_size").distinct()))
+    files = batch.select("device", "_path", "_size").distinct()
+    few = files.limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(few) > MAX_BROADCAST_ROWS:
+        return _with_seq(batch, _bases(files), small=False)
+    # A list of bounded size that is known now, so that it is not worked out again with every use of the lines.
+    return _with_seq(batch, _bases(batch.sparkSession.createDataFrame(few, "device string, _path string, _size bigint")), small=True)
 
 
 def of_device(df: DataFrame, device: str) -> DataFrame:

@@ -55,6 +55,39 @@ def test_folding_reads_all_rows_of_a_long_run(logs_frame):
     assert run["count"] == 2000
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 40])
+def test_newest_runs_by_ranges_of_ids(logs_frame, monkeypatch, limit):
+    """Ranges grow until they hold one run more than asked for; long runs and rare records make them grow to all ids."""
+    rng = random.Random(limit)
+    messages = [m for m in ("a", "b", "a", "c", "rare") for _ in range(rng.choice([1, 2, 30, 90]))]
+    frame = logs_frame([row(10 + i, message=m) for i, m in enumerate(messages)]).cache()
+    for name, value in (("FIRST_SPAN", 4), ("SPAN_PER_RUN", 1), ("ONE_WINDOW", 64)):
+        monkeypatch.setattr(f"logfold.operators.lookup.{name}", value)
+    for query in ("", "a", "rare"):
+        found = [10 + i for i, m in enumerate(messages) if query in m]
+        runs = []
+        for i in found:
+            if runs and messages[i - 10] == messages[runs[-1][1] - 10]:
+                runs[-1] = (runs[-1][0], i, runs[-1][2] + 1)
+            else:
+                runs.append((i, i, 1))
+        got = [(r["start_id"], r["end_id"], r["count"]) for r in search_logs(frame, "d", query, limit, fold=True).collect()]
+        assert got == runs[::-1][:limit]
+
+
+def test_folded_query_reads_the_newest_ids_only(logs_frame, spark, tmp_path):
+    write_logs(logs_frame([row(i, message=str(i)) for i in range(1, 20_001)]), str(tmp_path / "many"))
+    found = query_logs(read_logs(spark, str(tmp_path / "many")), "d", 0, limit=5, fold=True)
+    assert [r["end_id"] for r in found.collect()] == [20_000, 19_999, 19_998, 19_997, 19_996]
+    assert "GreaterThan(id,15904)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_of_few_anchors_leave_records_in_place(logs):
+    anchors = logs.filter("level = 'E'").select("device", "id")
+    assert "BroadcastHashJoin" in contexts(logs, anchors, 3)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(contexts(logs, anchors, 3, small=False).collect()) == sorted(contexts(logs, anchors, 3).collect())
+
+
 def test_pages_are_bounded(logs):
     for limit in (-1, report.PAGE_ROWS + 1):
         with pytest.raises(ValueError):
