@@ -211,43 +211,61 @@ class _Leaders:
         return np.bincount(self._owner[at], minlength=len(self.ids))
 
 
-def _linked_in(most_apart: int, percent: int):
-    """Links between the classes of keys and their leaders (two frames of the same keys)."""
-    def columns(table):
-        table = table.sort_by([("key", "ascending"), ("class_id", "ascending")])
-        signs = np.asarray(table.column("signature").combine_chunks().flatten()).view(np.uint16).reshape(-1, shingles.SYMBOLS)
-        keys = np.asarray(table.column("key"))
-        cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)), len(keys))
-        return {
-            int(keys[a]): (np.asarray(table.column("class_id"))[a:b], np.asarray(table.column("component"))[a:b], signs[a:b],
-                           [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").slice(a, b - a)],
-                           table.column("place").is_null().to_numpy()[a:b])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
-        }
+def _columns(table: pa.Table) -> dict[int, tuple]:
+    """By key: class ids in order, their components, signatures, sets (if the table has them), and whether each is of the key's largest component."""
+    if not table.num_rows:
+        return {}
+    table = table.sort_by([("key", "ascending"), ("class_id", "ascending")])
+    signs = np.asarray(table.column("signature").combine_chunks().flatten()).view(np.uint16).reshape(-1, shingles.SYMBOLS)
+    keys, ids, of = (np.asarray(table.column(c)) for c in ("key", "class_id", "component"))
+    main = table.column("place").is_null().to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")] if "shingles" in table.column_names else []
+    cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)), len(keys)).tolist()
+    return {int(keys[a]): (ids[a:b], of[a:b], signs[a:b], sets[a:b], main[a:b]) for a, b in zip(cuts[:-1], cuts[1:])}
+
+
+def _met(rows: pa.Table, leading: pa.Table, most_apart: int):
+    """(key, row, leaders) by place among the key's: which leaders a class is to be compared with under this key."""
+    led_of_key = _columns(leading)
+    for key, row in (_columns(rows) if led_of_key else {}).items():
+        if key not in led_of_key:
+            continue
+        (ids, of, signs, _, main), lead = row, led_of_key[key]
+        led, led_of, led_signs = lead[:3]
+        here = key >> (shingles.SYMBOL_BITS * (shingles.CHUNK - 1))
+        for i, own in enumerate(ids.tolist()):
+            # Of two classes outside of the largest component, the smaller one leads.
+            at = np.flatnonzero((led_of != of[i]) & (main[i] | (led < own)))
+            differs = led_signs[at] != signs[i]
+            near = differs.sum(1) <= most_apart
+            at, differs = at[near], differs[near]
+            at = at[_meeting_keys(differs, (led[at] ^ own) % shingles.SYMBOLS) == here] if len(at) else at
+            if len(at):
+                yield key, row, lead, i, at
+
+
+def _compared_in(most_apart: int):
+    """(key, class_id) of the classes that are to be compared with a leader, or lead."""
+    def run(_, rows, leading):
+        found = {(key, int(x)) for key, row, lead, i, at in _met(rows, leading, most_apart) for x in (row[0][i], *lead[0][at])}
+        return pa.table({c: pa.array([x[n] for x in found], pa.int64()) for n, c in enumerate(("key", "class_id"))})
+
+    return run
+
 
+def _linked_in(most_apart: int, percent: int):
+    """Links between the classes of keys and their leaders."""
     def run(_, rows, leading):
-        out = []
-        led_of_key = columns(leading) if leading.num_rows else {}
-        for key, (ids, of, signs, sets, main) in (columns(rows) if rows.num_rows and led_of_key else {}).items():
-            if key not in led_of_key:
-                continue
-            here, leaders = key >> (shingles.SYMBOL_BITS * (shingles.CHUNK - 1)), None
-            led, led_of, led_signs, led_sets, _main = led_of_key[key]
-            for i, own in enumerate(ids.tolist()):
-                # Of two classes outside of the largest component, the smaller one leads.
-                at = np.flatnonzero((led_of != of[i]) & (main[i] | (led < own)))
-                differs = led_signs[at] != signs[i]
-                near = differs.sum(1) <= most_apart
-                at, differs = at[near], differs[near]
-                at = at[_meeting_keys(differs, (led[at] ^ own) % (shingles.SYMBOLS)) == here] if len(at) else at
-                if not len(at):
-                    continue
-                leaders = leaders or _Leaders(led, led_of, led_signs, led_sets)
-                both = leaders.shared(sets[i])[at]
-                at = at[100 * both >= percent * (leaders.sizes[at] + len(sets[i]) - both)]
-                # A link to any member of a component is enough.
-                for k in at[np.unique(led_of[at], return_index=True)[1]].tolist():
-                    out.append((min(own, int(led[k])), max(own, int(led[k]))))
+        out, index = [], (None, None)
+        for key, row, lead, i, at in _met(rows, leading, most_apart):
+            if index[0] != key:
+                index = key, _Leaders(lead[0], lead[1], lead[2], lead[3])
+            leaders, own = index[1], row[3][i]
+            both = leaders.shared(own)[at]
+            at = at[100 * both >= percent * (leaders.sizes[at] + len(own) - both)]
+            # A link to any member of a component is enough.
+            for k in at[np.unique(leaders.of[at], return_index=True)[1]].tolist():
+                out.append((min(int(row[0][i]), int(leaders.ids[k])), max(int(row[0][i]), int(leaders.ids[k]))))
         return pa.table({c: pa.array([pair[n] for pair in out], pa.int64()) for n, c in enumerate("ab")})
 
     return run
@@ -261,14 +279,22 @@ def _swept(opened: DataFrame, sets: DataFrame, first: int, most_apart: int, perc
     tasks = F.ceil(F.col("_n") / GROUP_ROWS).cast("int")
     groups = max(1, opened.count() // GROUP_ROWS)
     opened = opened.withColumn("slot", F.when(tasks > 1, F.col("key")).otherwise(-1 - F.pmod(F.xxhash64("key"), F.lit(groups))))
-    rows = opened.withColumn("part", F.pmod(F.xxhash64("class_id"), tasks).cast("int")).join(sets, "class_id")
-    leaders = opened.filter((F.col("place") > first) & (F.col("place") <= first + SWEPT)).join(sets, "class_id")
-    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), tasks - 1)))
-    # The same rows on both sides are told apart by new names for the columns.
-    columns = ["slot", "part", "key", "class_id", "component", "signature", "place", "shingles"]
-    leaders = leaders.select([F.col(c).alias(c) for c in columns])
-    both = rows.select(columns).groupBy("slot", "part").cogroup(leaders.groupBy("slot", "part"))
-    return stored(both.applyInArrow(_linked_in(most_apart, percent), "a bigint, b bigint"), "links")
+    columns = ["slot", "part", "key", "class_id", "component", "signature", "place"]
+
+    def both(rows, more=()):
+        leaders = rows.filter((F.col("place") > first) & (F.col("place") <= first + SWEPT))
+        leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("class_id"), tasks).cast("int")).select(*columns, *more)
+        # The same rows on both sides are told apart by new names for the columns.
+        leaders = leaders.select([F.col(c).alias(c) for c in [*columns, *more]])
+        return rows.groupBy("slot", "part").cogroup(leaders.groupBy("slot", "part"))
+
+    # Signatures alone tell which classes will be compared; their sets follow.
+    compared = stored(both(opened).applyInArrow(_compared_in(most_apart), "key bigint, class_id bigint").distinct(), "compared")
+    rows = opened.join(compared, ["key", "class_id"], "left_semi").join(sets, "class_id")
+    links = stored(both(rows, ["shingles"]).applyInArrow(_linked_in(most_apart, percent), "a bigint, b bigint"), "links")
+    forget(compared)
+    return links
 
 
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
