@@ -1,7 +1,7 @@
 import pytest
 
 from tests import sequential
-from logfold.operators.ingest import accept_lines, drop_late, ingest, is_restart, sessionize
+from logfold.operators.ingest import RESTART_TAGS, RESTART_WORDS, accept_lines, drop_late, ingest, is_restart, sessionize
 from pyspark.sql import functions as F
 
 FEEDS = {f"d{i}": sequential.feed(i, 260, gap=1 + i % 3) for i in range(4)}
@@ -67,29 +67,30 @@ def test_one_run_over_every_bucket(lines_frame):
     assert row["message"] == "\n".join(f"m{i}" for i in range(50))
 
 
-def test_line_table(lines_frame):
-    h = "05-01 10:00:00.12"
-    valid = h + "3  1234  5678 I TestTag : Hello World"
-    lines = [valid, "Just some garbage text",
-             h + "4 9999999999999999999 9999999999999999999 D LargeInt : Boom", valid,
-             "04-30 23:59:59.999  1234  5678 I OldTag : Past"]
-    rows = accept_lines(lines_frame({"d": list(enumerate(lines))})).orderBy("seq").collect()
-    assert [(r["seq"], r["pid"], r["tid"]) for r in rows] == [(0, 1234, 5678), (2, 0, 0)]
+def test_what_is_taken(lines_frame):
+    """In order: taken, no log line, taken with numbers out of range, late as a copy of the first, late by a day."""
+    huge = "7" * 25
+    feed = ["03-17 22:41:09.100  81  92 W Radio : link up", "--------- beginning of a buffer", f"03-17 22:41:09.200  {huge}  {huge} V Big : n",
+            "03-17 22:41:09.100  81  92 W Radio : link up", "03-16 22:41:09.300  81  92 W Radio : yesterday"]
+    rows = accept_lines(lines_frame({"d": list(enumerate(feed))})).orderBy("seq").collect()
+    assert [(r["seq"], r["pid"], r["tid"], r["tag"]) for r in rows] == [(0, 81, 92, "Radio"), (2, 0, 0, "Big")]
 
 
-def test_dedup_table(lines_frame):
-    t0, t1 = "05-01 10:00:00.000", "05-01 10:00:01.000"
-    lines = [t0 + "  100  200 I TagA : first message", t0 + "  100  200 I TagA : first message",
-             t0 + "  100  200 I TagA : first messagf", t1 + "  100  200 I TagA : first message",
-             t1 + "  100  200 I TagB : first message"]
-    rows = accept_lines(lines_frame({"d": list(enumerate(lines))})).collect()
-    assert sorted(r["seq"] for r in rows) == [0, 2, 3, 4]
+def test_only_whole_lines_are_duplicates(lines_frame):
+    """Lines that differ in any one part from those before are taken, copies of any of them are not."""
+    parts = ("03-17 22:41:09.100", "81", "92", "W", "Radio", "up")
+    other = ("03-17 22:41:09.200", "82", "93", "E", "Radi", "up ")
+    lines = ["{}  {}  {} {} {} : {}".format(*parts)]
+    lines += ["{}  {}  {} {} {} : {}".format(*parts[:k], other[k], *parts[k + 1:]) for k in (1, 2, 3, 4, 5, 0)]
+    feed = list(enumerate([*lines[:6], *lines[:6], lines[6], lines[6]]))
+    assert sorted(r["seq"] for r in accept_lines(lines_frame({"d": feed})).collect()) == [0, 1, 2, 3, 4, 5, 12]
 
 
-def test_restart_opens_session_one(lines_frame):
-    line = "05-01 10:00:00.123  1234  5678 I ActivityManager : Start proc com.example.app for activity ..."
-    [row] = ingest(lines_frame({"d": [(1, line)]}), "com.example.app").collect()
-    assert row["session_id"] == 1
+@pytest.mark.parametrize("tag", RESTART_TAGS)
+@pytest.mark.parametrize("word", RESTART_WORDS)
+def test_a_restart_as_first_line_opens_session_one(lines_frame, tag, word):
+    [row] = ingest(lines_frame({"d": [(1, f"03-17 22:41:09.100  9  9 D {tag} : {word} org.sample/u0")]}), "org.sample").collect()
+    assert (row["session_id"], row["id"]) == (1, 1)
 
 
 def test_restart_is_case_sensitive(spark):
@@ -99,11 +100,12 @@ def test_restart_is_case_sensitive(spark):
     assert got == [False, False, True]
 
 
-def test_ten_thousand_distinct_lines(lines_frame):
-    lines = [(i, f"05-01 10:{i // 60000:02d}:{(i // 1000) % 60:02d}.{i % 1000:03d}  {i:04d}  {i:04d} I Tag{i % 100} : Message {i}")
-             for i in range(10000)]
-    logs = ingest(lines_frame({"d": lines}), None)
-    assert logs.filter("session_id = 0").count() == 10000
+def test_many_sources_take_turns(lines_frame):
+    """A record per line, in order, as no two neighbours have one source."""
+    feed = [(k, f"03-17 {k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}.000  {k % 7}  1 V Src{k % 7} : n{k}") for k in range(9000)]
+    logs = ingest(lines_frame({"d": feed}), None)
+    rows = logs.orderBy("id").collect()
+    assert [(r["id"], r["session_id"], r["message"]) for r in rows] == [(k + 1, 0, f"n{k}") for k in range(9000)]
 
 
 def test_one_scan_and_two_wide_shuffles(spark, lines_frame, tmp_path):

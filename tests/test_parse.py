@@ -3,20 +3,16 @@ import pytest
 from logfold.functions.parse import parse_lines, rejected_lines, to_long
 from pyspark.sql import functions as F
 
-H = "05-01 10:00:00.123"
+H = "03-17 22:41:09.507"
+LINE = H + "  81  92 W Radio : link: up"
 # line, then (pid, tid, level, tag, message) or None
 CASES = [
-    ("", None), ("short", None), (H, None),
-    (H + "  1234  5678 I NoColon", None),
-    ("not-a-real-timestamp 1234  5678 I Tag : Msg", None),
-    (H + "  1234  5678 I Tag : level=ERROR: code=42: msg=crash", (1234, 5678, "I", "Tag", "level=ERROR: code=42: msg=crash")),
-    (H + "  1234 5678 W Tag : msg", (1234, 5678, "W", "Tag", "msg")),
-    (H + "  1234  5678 X Tag : msg", None), (H + "  1234  5678 S Tag : msg", None),
-    (H + "  1234  5678 I  : msg", None),
-    (H + "  1234  5678 E MyApp : Something broke", (1234, 5678, "E", "MyApp", "Something broke")),
-    (H + "  1234  5678 I Tag : ", (1234, 5678, "I", "Tag", "")),
-    (H + "  1234  5678 D TagName : Msg", (1234, 5678, "D", "TagName", "Msg")),
-    ("Just some garbage text that is longer than 18 chars", None),
+    # A line that ends anywhere before its tag is closed is none; after that, what is left is the message.
+    *[(LINE[:k], None) for k in range(LINE.index(": link") + 2)],
+    *[(LINE[:k], (81, 92, "W", "Radio", LINE[LINE.index("link"):k])) for k in range(LINE.index("link"), len(LINE) + 1)],
+    *[(f"{H} 81 92 {c} Radio : on", (81, 92, c, "Radio", "on")) for c in "VDIWEF"],
+    *[(f"{H} 81 92 {c} Radio : on", None) for c in "XSvw5-"],
+    (f"{H[:10]}  81  92 W Radio : short clock", None), (f"{H[:-1]}  81 W Radio : one number", None), (f"{H}  81  92 W   : no tag", None),
     (H + "  12345678 I Tag : x", None),
     (H + "1234 5678ITag: x", (1234, 5678, "I", "Tag", "x")),
     (H + "  1234  5678 I  : a: msg", None),
@@ -31,7 +27,7 @@ CASES = [
     (H + "  9999999999999999999  00000000000000000000007 I T : x", (0, 7, "I", "T", "x")),
     (H + "  1  2", None), (H + "  1  2 I", None), (H + "  1  2 I ", None), (H + "  1 I T : x", None),
     # The timestamp is 18 bytes: a character may end there, but not straddle it.
-    ("05-01 10:00:00.1é 1 2 I T: m", (1, 2, "I", "T", "m")), ("05-01 10:00:00.12é1 2 I T: m", None),
+    (H[:-2] + "é 1 2 I T: m", (1, 2, "I", "T", "m")), (H[:-1] + "é1 2 I T: m", None),
 ]
 
 
