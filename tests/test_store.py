@@ -1,6 +1,7 @@
 """Queries, retention and reports over stored records."""
 
 import random
+from itertools import groupby
 
 import pytest
 
@@ -190,15 +191,15 @@ def text(df):
 
 
 def test_reports(logs_frame):
-    frame = logs_frame([row(1, level="E", tag="Test", message="Error message"), row(2, tag="Test", message="Info message")])
-    assert text(report.error_report(frame, "d")) == "### Error Summary (Current Session)\n- [1] **1x** [Test] Error message\n"
+    frame = logs_frame([row(1, level="E", tag="Test", message="link lost"), row(2, tag="Test", message="link is back")])
+    assert text(report.error_report(frame, "d")) == "### Error Summary (Current Session)\n- [1] **1x** [Test] link lost\n"
     assert text(report.tag_report(frame, "d")) == "### Tag Summary (Current Session)\n- **2** Test\n"
     found = text(report.query_report(frame, "d", level="E"))
-    assert "Error message" in found and "Info message" not in found
-    searched = text(report.search_report(frame, "d", "info"))
-    assert searched.startswith("### Test (1)\n- [2] **I** 10:00:02.000 Info message\n") and not searched.endswith("query if needed.*")
+    assert "link lost" in found and "link is back" not in found
+    searched = text(report.search_report(frame, "d", "BACK"))
+    assert searched.startswith("### Test (1)\n- [2] **I** 10:00:02.000 link is back\n") and not searched.endswith("query if needed.*")
     assert text(report.context_report(frame, "d", 1, 5)).splitlines() == [
-        "### Test (1)", "#### Error message", "> - [1] **E** 10:00:01.000", "#### Info message", "- [2] **I** 10:00:02.000"]
+        "### Test (1)", "#### link lost", "> - [1] **E** 10:00:01.000", "#### link is back", "- [2] **I** 10:00:02.000"]
     shown = text(report.status_report(frame, "d", "com.example.app"))
     assert "com.example.app" in shown and "**Current Session Logs**: 2 rows" in shown
     with pytest.raises(ValueError):
@@ -216,18 +217,17 @@ def test_reports_of_nothing(logs_frame):
     assert (state["session_id"], state["session_rows"], state["target_package"]) == (0, 0, "None (System-wide)")
 
 
-def render_one_by_one(rows, center=None):
-    out, header, shown = "", "", ""
-    for r in rows:
-        now = f"{r['tag']} ({r['pid']})"
-        if now != header:
-            out, header, shown = out + f"### {now}\n", now, ""
-        first, _, rest = r["message"].partition("\n")
-        if first != shown:
-            out, shown = out + f"#### {first}\n", first
-        out += f"{'> ' if r['id'] == center else ''}- [{r['id']}] **{r['level']}** {r['timestamp'][6:]}\n"
-        out += "".join(f"  {line}\n" for line in rest.split("\n")) if rest else ""
-    return out
+def rendered(rows, center=None):
+    """Neighbours of one source share a heading, and among these neighbours with one first line a sub-heading."""
+    entry = lambda r: f"{'> ' if r['id'] == center else ''}- [{r['id']}] **{r['level']}** {r['timestamp'][6:]}\n" + "".join(
+        f"  {line}\n" for _, sep, rest in [r["message"].partition("\n")] if rest for line in rest.split("\n"))
+    out = []
+    for source, same in groupby(rows, key=lambda r: (r["tag"], r["pid"])):
+        out.append("### {} ({})\n".format(*source))
+        for k, (head, few) in enumerate(groupby(same, key=lambda r: r["message"].split("\n")[0])):
+            # Nothing is shown for an empty first line right below the heading.
+            out += [f"#### {head}\n" * bool(head or k), *map(entry, few)]
+    return "".join(out)
 
 
 @pytest.mark.parametrize("limited", [True, False])
@@ -236,18 +236,18 @@ def test_render_entries(logs_frame, limited):
     rows = [row(i, pid=rng.randint(1, 2), message=rng.choice(["", "a", "a\nb", "\nc", "a\n\nd"])) for i in range(1, 120)]
     frame = logs_frame(rows)
     got = report.render_entries(frame, "id", F.lit(50), limited=limited, bits=2).orderBy("id").collect()
-    assert "".join(r["text"] for r in got) == render_one_by_one(frame.orderBy("id").collect(), 50)
+    assert "".join(r["text"] for r in got) == rendered(frame.orderBy("id").collect(), 50)
 
 
 @pytest.mark.parametrize("limited", [True, False])
 def test_render_folded(spark, limited):
     runs = spark.createDataFrame(
-        [("d", 1, 5, "05-01 10:00:00.000", "05-01 10:00:05.000", "I", "Network", 1234, "Request sent", 5),
-         ("d", 6, 6, "05-01 10:00:06.000", "05-01 10:00:06.000", "W", "Network", 1234, "Retry\nx", 1)],
+        [("d", 1, 5, "05-01 10:00:00.000", "05-01 10:00:05.000", "I", "Radio", 81, "scan", 5),
+         ("d", 6, 6, "05-01 10:00:06.000", "05-01 10:00:06.000", "W", "Radio", 81, "stop\nx", 1)],
         "device string, start_id long, end_id long, start_time string, end_time string, level string, tag string, pid long, message string, count long")
     got = report.render_folded(runs, "end_id", limited, bits=1).orderBy("end_id").collect()
-    assert "".join(r["text"] for r in got) == ("### Network (1234)\n- [1-5] **I** 10:00:00.000 - 10:00:05.000 Request sent (5x)\n"
-                                               "- [6] **W** 10:00:06.000 Retry\n")
+    assert "".join(r["text"] for r in got) == ("### Radio (81)\n- [1-5] **I** 10:00:00.000 - 10:00:05.000 scan (5x)\n"
+                                               "- [6] **W** 10:00:06.000 stop\n")
 
 
 def test_store_pushes_filters_down(spark, logs, tmp_path):
