@@ -64,14 +64,14 @@ def fold_runs(df: DataFrame, keys: list[str], position: str, same: list[str], en
     )
     seams = stitch(per_bucket, key, bits=bits)
     part = F.struct(BUCKET, F.col("opening._size").alias("size"), F.col("opening._end").alias("end"))
-    offsets = gather_tails(seams, key, [], part)
+    offsets = gather_tails(seams, key, [], part, {
+        "_more": lambda parts: F.sum(parts["size"]), "_tail": lambda parts: F.max_by(parts["end"], parts[BUCKET])})
 
     is_last = F.lead(position).over(window).isNull()
     runs = attach(runs.withColumn("_last", is_last), offsets, key)
     runs = runs.filter(~(F.col("crossing") & (F.col("_n") == 1)))
-    parts = F.when(F.col("_last"), F.col("parts"))
-    more = F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, p: total + p["size"])
-    end = F.coalesce(F.element_at(parts, -1)["end"], F.col("_end"))
+    more = F.when(F.col("_last"), F.col("_more"))
+    end = F.coalesce(F.when(F.col("_last"), F.col("_tail")), F.col("_end"))
     return runs.select(
         *[F.col(f"_k.{k}").alias(k) for k in keys], *same, *_named(position, ends, end),
         (F.col("_size") + F.coalesce(more, F.lit(0))).alias("count"),

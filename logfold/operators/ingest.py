@@ -141,14 +141,12 @@ def _runs(lines, package, targets, state, bits):
     rows = rows.withColumn("_opens", opens).withColumn("_run", F.sum(F.col("_opens").cast("bigint")).over(window))
     rows = rows.drop("_prev")
 
-    # A bucket is summed up by the lines of its first run and its last line.
-    opening = F.when(F.col("_run") == 1, F.struct("seq", "msg"))
+    # A bucket is summed up by the keys of its first and last line; text stays where it is.
     per_bucket = rows.filter((F.col("_run") == 1) | F.col("_last")).groupBy("device", BUCKET).agg(
         F.min_by(F.struct("_key", "restart"), "seq").alias("_first"),
         F.max_by("_key", "seq").alias("last"),
         F.max("_run").alias("runs"),
         F.max("_session").alias("sessions"),
-        F.collect_list(opening).alias("opening"),
     ).withColumns({"first": F.col("_first._key"), "fresh": F.col("_first.restart")}).drop("_first")
     zero = F.lit(0).cast("bigint")
     if state is None:
@@ -198,15 +196,20 @@ def ingest(lines: DataFrame, package: str | None = None, targets: DataFrame | No
     """
     rows, seams = _runs(lines, package, targets, state, bits)
 
-    part = F.struct(BUCKET, _text(F.col("opening")).alias("msg"))
-    offsets = gather_tails(seams, DEVICE, ["session0", "id0"], part)
+    # The keys told which records cross into a bucket; of these alone the text moves, to where the record begins.
+    opening = rows.filter(F.col("_run") == 1).groupBy("device", BUCKET).agg(
+        _text(F.collect_list(F.struct("seq", "msg"))).alias("opening"))
+    part = F.struct(BUCKET, F.col("opening").alias("msg"))
+    offsets = gather_tails(attach(seams, opening, DEVICE), DEVICE, ["session0", "id0"], part, {
+        # No parts are not an empty text.
+        "tail": lambda parts: F.when(F.count(parts) > 0, _text(F.collect_list(parts)))})
     # The rows are dealt out by bucket already, so this needs no shuffle and is linear in a run's lines.
     opening = F.struct("seq", "_key", "_session")
     record = rows.groupBy("device", BUCKET, "_run").agg(
         F.min_by(opening, "seq").alias("_open"), _text(F.collect_list(F.struct("seq", "msg"))).alias("message"),
     ).select("device", BUCKET, "_run", "_open.*", "message")
     pieces = attach(record, offsets, DEVICE).filter(~(F.col("crossing") & (F.col("_run") == 1)))
-    tail = F.when(F.col("_run") == F.col("runs"), _text(F.col("parts")))
+    tail = F.when(F.col("_run") == F.col("runs"), F.col("tail"))
     return pieces.select(
         "device",
         _record_id().alias("id"),

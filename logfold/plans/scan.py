@@ -13,6 +13,8 @@ column that is declared nullable also costs a shared exchange, as Catalyst then
 adds a null check to one of its readers; see `not_null`.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -155,38 +157,43 @@ def stitch(
     )
 
 
-def gather_tails(seams: DataFrame, keys: list[str], columns: list[str], part: Column) -> DataFrame:
-    """Per bucket: the columns, and ``parts``, what later buckets hold of its last run.
+def gather_tails(
+    seams: DataFrame, keys: list[str], columns: list[str], part: Column, totals: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Per bucket: the columns, and ``totals`` of what later buckets hold of its last run.
 
-    ``seams`` comes from `stitch`; ``part`` is what a bucket holds of the run
-    that crosses into it. Only rows of the per-bucket table move.
+    ``seams`` comes from `stitch`; ``part`` is a struct of what a bucket holds of the run that crosses into it, and
+    ``totals`` maps a name to an aggregate of such structs. Parts are added up before they move, and a bucket that
+    lies within a run moves under a key of its own, so no task holds the buckets of a long run.
     """
     number = F.col("before_runs") - F.col("joined").cast("bigint")
+    inside = F.col("crossing") & (F.col("runs") == 1)
     never = F.lit(False)
     own = F.struct(BUCKET, "joined", "crossing", "runs", *columns)
     sent = F.array(
         F.struct(
-            (number + F.col("runs")).alias("run"), own.alias("own"), F.when(never, part).alias("part")
+            F.when(~inside, number + F.col("runs")).alias("run"), F.when(inside, F.col(BUCKET)).alias("alone"),
+            own.alias("own"), F.when(never, part).alias("part"),
         ),
         F.when(
             F.col("crossing"),
-            F.struct((number + 1).alias("run"), F.when(never, own).alias("own"), part.alias("part")),
+            F.struct(
+                (number + 1).alias("run"), F.when(never, F.col(BUCKET)).alias("alone"),
+                F.when(never, own).alias("own"), part.alias("part"),
+            ),
         ),
     )
     by_run = (
-        seams.select(*keys, BUCKET, F.explode(sent).alias("sent"))
+        seams.select(*keys, F.explode(sent).alias("sent"))
         .filter(F.col("sent").isNotNull())
-        .groupBy(*keys, "sent.run")
+        .groupBy(*keys, "sent.run", "sent.alone")
         .agg(
-            F.min(BUCKET).alias("_home"),
-            F.collect_list("sent.own").alias("_own"),
-            F.array_sort(F.collect_list("sent.part")).alias("_parts"),
+            # A run begins in one bucket.
+            F.first("sent.own", ignorenulls=True).alias("_own"),
+            *[total(F.col("sent.part")).alias(name) for name, total in totals.items()],
         )
     )
-    at_home = (F.col(f"_own.{BUCKET}") == F.col("_home")) & (F.size("_parts") > 0)
-    return by_run.select(*keys, "_home", "_parts", F.explode("_own").alias("_own")).select(
-        *keys, "_own.*", F.when(at_home, F.col("_parts")).alias("parts")
-    )
+    return by_run.select(*keys, "_own.*", *totals)
 
 
 def with_previous(
