@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logfold.functions.text import ascii_contains
 from logfold.operators.fold import fold_entries, fold_logs
 from logfold.plans.size import few_rows, small_side
+from logfold.sources.search_index import skip_blocks
 
 DEFAULT_LIMIT = 25
 CONTEXT_LINES = 15
@@ -68,9 +69,13 @@ def query_logs(logs: DataFrame, device: str, session_id: int | None = None, leve
     return _newest_folded(logs.filter(F.col("device") == device), found, limit) if fold else newest(found, limit)
 
 
-def search_logs(logs: DataFrame, device: str, query: str, limit: int = DEFAULT_LIMIT, fold: bool = False) -> DataFrame:
-    """Newest records of a device, in any session, with the text in the message."""
-    own = logs.filter(F.col("device") == device)
+def search_logs(logs: DataFrame, device: str, query: str, limit: int = DEFAULT_LIMIT, fold: bool = False,
+                index: DataFrame | None = None) -> DataFrame:
+    """Newest records of a device, in any session, with the text in the message.
+
+    With an ``index`` of the records (`sources.search_index`) blocks of ids that cannot have the text are not read.
+    """
+    own = logs.filter(F.col("device") == device) if index is None else skip_blocks(logs, index, device, query)
     found = matching(own, query=query)
     return _newest_folded(own, found, limit) if fold else newest(found, limit)
 

@@ -17,8 +17,8 @@ from logfold.operators.summaries import (
 from logfold.plans.scan import with_row_number
 from logfold.sources.lines import stream_lines
 from logfold.sources.tables import (
-    DUCKDB_TS, PACKAGE, RAW_LINES, captured_lines, document_lines, document_logs, event_lines, event_logs, scratch, table,
-    write_text,
+    DUCKDB_TS, PACKAGE, RAW_LINES, SMALL_BLOCKS, captured_lines, document_index, document_lines, document_logs, event_index,
+    event_lines, event_logs, scratch, table, write_text,
 )
 from logfold.streaming.cleanup import Cleaner
 from logfold.streaming.ingest import ingest_batch, last_batch, start_ingest, state_after, stored_logs
@@ -311,6 +311,26 @@ REGISTERED = {
         f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'CLICK')}), "
         + FOLDED.format(source="q") + " SELECT * FROM folded ORDER BY end_id DESC LIMIT 50",
     ),
+    "search_index": (
+        lambda spark, sf: event_index(spark, sf),
+        f"""{LOGS_CTE}, g AS (SELECT device, id, (id >> {SMALL_BLOCKS}) << {SMALL_BLOCKS} first_id, unnest(list_concat([''],
+          [substr(m, i, 3) for i in range(1, length(m) - 1)])) gram
+          FROM (SELECT *, translate(message, '{UPPER}', '{LOWER}') m FROM logs))
+        SELECT device, gram, first_id, first_id + {(1 << SMALL_BLOCKS) - 1} AS last_id, max(id) AS upto FROM g GROUP BY ALL""",
+    ),
+    "search_logs_indexed": (
+        lambda spark, sf: search_logs(event_logs(spark, sf), DEVICE, "Start PROC%example", limit=50, index=event_index(spark, sf)),
+        f"{LOGS_CTE} SELECT {LOG_COLUMNS} FROM logs WHERE device = '{DEVICE}' AND {like('message', 'Start PROC%example')} ORDER BY id DESC LIMIT 50",
+    ),
+    "search_logs_folded_indexed": (
+        lambda spark, sf: search_logs(event_logs(spark, sf), DEVICE, "CLICK", limit=50, fold=True, index=event_index(spark, sf)),
+        f"{LOGS_CTE}, q AS (SELECT * FROM logs WHERE device = '{DEVICE}' AND {like('message', 'CLICK')}), "
+        + FOLDED.format(source="q") + " SELECT * FROM folded ORDER BY end_id DESC LIMIT 50",
+    ),
+    "search_documents_indexed": (
+        lambda spark, sf: search_logs(document_logs(spark, sf), "docs", "LICEN_E", limit=-1, index=document_index(spark, sf)).select("id", "tag", "message"),
+        f"SELECT doc_id AS id, lang AS tag, text AS message FROM documents WHERE {like('text', 'LICEN_E')}",
+    ),
     "search_documents": (
         lambda spark, sf: search_logs(document_logs(spark, sf), "docs", "é", limit=-1).select("id", "tag", "message"),
         f"SELECT doc_id AS id, lang AS tag, text AS message FROM documents WHERE {like('text', 'é')}",

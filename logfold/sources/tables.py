@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from logfold.operators.ingest import ingest
 from logfold.sources.lines import read_lines
 from logfold.sources.logs import read_logs, write_logs
+from logfold.sources.search_index import read_search_index, write_search_index
 
 PACKAGE = "com.example.app"
+# Ids of a block in the search indexes, for tables whose devices have a few thousand records.
+SMALL_BLOCKS = 6
 
 # Two SQL dialects share this text; only the timestamp differs.
 RAW_LINES = """
@@ -92,6 +95,20 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_logs(spark, path)
 
 
+def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search index of `event_logs`, written once per application."""
+    path = _once(spark, sf_dir, "index",
+                 lambda path: write_search_index(event_logs(spark, sf_dir), path, "errorifexists", SMALL_BLOCKS))
+    return read_search_index(spark, path)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search index of `document_logs`, written once per application."""
+    path = _once(spark, sf_dir, "document_index",
+                 lambda path: write_search_index(document_logs(spark, sf_dir), path, "errorifexists", SMALL_BLOCKS))
+    return read_search_index(spark, path)
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     """Add lines to a capture folder, as one batch of files in order of arrival."""
     ordered = lines.repartitionByRange("device", "seq").sortWithinPartitions("device", "seq")
