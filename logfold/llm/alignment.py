@@ -187,7 +187,8 @@ class Aligner:
 
     def _alone(self, segment: str) -> Aligned:
         """One segment for itself, which may have no tokens."""
-        text = segment[1:] if segment[:1] == " " else CARRIER[1:] + segment
+        # The blank that ends a text stands behind the carrier too: of an empty text B has no tokens, not even its blank.
+        text = segment[1:] if segment[:1] == " " and segment != " " else CARRIER[1:] + segment
         found = self._chunk(text, np.array([len(f" {text}".encode()) - len(segment.encode())]), np.array([len(f" {text}".encode())]))
         return found or Aligned(np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64), np.zeros(1, bool))
 
