@@ -14,7 +14,7 @@ those of its own component and those that are too far apart, and is tested with
 then show, as one link is enough; after each round components are joined, and rounds go on with more tests for a class while
 tests find links. Then keys that still have several components are swept: the classes outside of a key's largest
 component, SWEPT at a time, meet those of other components in tasks of GROUP_ROWS classes, each pair under the first key that
-it shares. What tasks give out are links alone. Two classes of one component are never tested.
+it shares. What tasks give out are links alone, and of these no more than join their components. Two classes of one component are never tested.
 """
 
 import hashlib
@@ -197,8 +197,8 @@ def _meeting_keys(differs: np.ndarray, start: np.ndarray) -> np.ndarray:
 class _Leaders:
     """Classes of a key with their sets, and for every shingle which of them have it."""
 
-    def __init__(self, ids, of, signs, sets):
-        self.ids, self.of, self.signs, self.sizes = ids, of, signs, np.array([len(x) for x in sets], np.int64)
+    def __init__(self, ids, signs, sets):
+        self.ids, self.signs, self.sizes = ids, signs, np.array([len(x) for x in sets], np.int64)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         self._flat, self._owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
@@ -211,6 +211,20 @@ class _Leaders:
         return np.bincount(self._owner[at], minlength=len(self.ids))
 
 
+class _Joined:
+    """Components of a task's classes, and which of them links have joined so far: equal numbers in ``of``."""
+
+    def __init__(self, components):
+        self._known = np.unique(np.asarray(components))
+        self.of = np.arange(len(self._known))
+
+    def places(self, components: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self._known, components)
+
+    def join(self, x: int, y: int) -> None:
+        self.of[self.of == self.of[y]] = self.of[x]
+
+
 def _columns(table: pa.Table) -> dict[int, tuple]:
     """By key: class ids in order, their components, signatures, sets (if the table has them), and whether each is of the key's largest component."""
     if not table.num_rows:
@@ -254,18 +268,24 @@ def _compared_in(most_apart: int):
 
 
 def _linked_in(most_apart: int, percent: int):
-    """Links between the classes of keys and their leaders."""
+    """Links between the classes of keys and their leaders, fewer than the components that the task has: those that links already join are passed."""
     def run(_, rows, leading):
         out, index = [], (None, None)
+        joined = _Joined(pa.chunked_array([*rows.column("component").chunks, *leading.column("component").chunks], pa.int64()))
         for key, row, lead, i, at in _met(rows, leading, most_apart):
             if index[0] != key:
-                index = key, _Leaders(lead[0], lead[1], lead[2], lead[3])
-            leaders, own = index[1], row[3][i]
+                index = key, _Leaders(lead[0], lead[2], lead[3]), joined.places(row[1]), joined.places(lead[1])
+            _, leaders, row_of, led_of = index
+            own = row[3][i]
+            at = at[joined.of[led_of[at]] != joined.of[row_of[i]]]
+            if not len(at):
+                continue
             both = leaders.shared(own)[at]
             at = at[100 * both >= percent * (leaders.sizes[at] + len(own) - both)]
             # A link to any member of a component is enough.
-            for k in at[np.unique(leaders.of[at], return_index=True)[1]].tolist():
+            for k in at[np.unique(joined.of[led_of[at]], return_index=True)[1]].tolist():
                 out.append((min(int(row[0][i]), int(leaders.ids[k])), max(int(row[0][i]), int(leaders.ids[k]))))
+                joined.join(row_of[i], led_of[k])
         return pa.table({c: pa.array([pair[n] for pair in out], pa.int64()) for n, c in enumerate("ab")})
 
     return run

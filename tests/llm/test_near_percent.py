@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logfold.llm import minhash_dedup, shingles
@@ -112,3 +113,34 @@ def test_texts_of_one_id_are_joined(spark):
     rows = [(5, words(0)), (5, words(900)), (3, words(900)), (9, words(0) + " x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {(r.doc_id, r.component_id) for r in minhash_dedup.minhash_dedup(docs).collect()} == {(5, 3), (3, 3), (9, 3)}
+
+
+def test_a_task_gives_no_more_links_than_join_its_components():
+    """Leaders, each its own component, near every class of the key's largest component and near each other."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 62, 3, dtype=np.uint64))) for _ in range(80)]
+    # The last is far from all others.
+    sets.append(np.append(base[:100], rng.integers(0, 1 << 62, 100, dtype=np.uint64)))
+    sets[-1].sort()
+    signs = np.tile(rng.integers(0, 1 << 16, shingles.SYMBOLS).astype(np.uint16).view(np.int16), (81, 1))
+    key = shingles.index_keys(signs.view(np.uint16))[0]
+
+    def table(which, at):
+        return pa.table({
+            "key": pa.array(np.full(len(which), key[at])), "class_id": pa.array(which, pa.int64()),
+            "component": pa.array([0 if i < 40 else i for i in which], pa.int64()),
+            "signature": pa.array(list(signs[which]), pa.list_(pa.int16())),
+            "place": pa.array([None if i < 40 else i - 39 for i in which], pa.int32()),
+            "shingles": pa.array([sets[i].tobytes() for i in which], pa.binary()),
+        })
+
+    everything = [pa.concat_tables([table(which, at) for at in range(len(key))]) for which in (list(range(81)), list(range(40, 81)))]
+    links = list(zip(*minhash_dedup._linked_in(14, 85)(None, *everything).to_pydict().values()))
+    # 41 near components: the largest one and 40 leaders.
+    assert len(links) == len(set(links)) == 40
+    root = {i: 0 if i < 40 else i for i in range(81)}
+    for a, b in links:
+        assert a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+        root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+    assert len({root[i] for i in range(80)}) == 1 and root[80] == 80
