@@ -8,16 +8,18 @@ where tokens of both end cut a text into groups; A and B tokens with overlapping
 Texts are aligned by segments: a place before a blank that follows something else, or between a
 Latin letter and an ASCII mark, is never inside a token of either vocabulary and changes no token beside
 it, if no piece of B holds such a pair of characters. Vocabularies for which that is not so are aligned by
-whole texts. A block of documents aligns each of its distinct segments once and has one dictionary of its
+whole texts. A block of documents aligns each of its distinct segments once, but for those that its task still knows, and has one dictionary of its
 (A id, B id) pairs; dictionaries meet by pair, with sums before the shuffle, and the counts go back to
 the blocks. A block has one row for a pair, so no pair is a larger share of these rows than one of a block's pairs.
 """
 
+import gc
 import json
 import os
 import re
 from array import array
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from logfold.llm.common import small_batches, text_of
 BLOCK_BYTES = 8 << 20
 # Characters of segments that the libraries get at once.
 CHUNK = 1 << 16
+# Bytes of parts and what they align to that a task keeps from block to block, and that one part and its characters take, about.
+CACHED_BYTES, ENTRY_BYTES, CHARACTER_BYTES = 160 << 20, 300, 16
 # Bytes of groups in one batch of results.
 BATCH_BYTES = 2 << 20
 MARK = "▁"
@@ -60,6 +64,13 @@ class Aligned:
         self.counts, self.groups, self.links, self.valid = counts, groups, links, valid
         self.ends = np.cumsum(counts[:, 3])
 
+    def add(self, more: "Aligned") -> None:
+        """Put other segments behind these."""
+        both = [np.concatenate([x, y]) for x, y in ((self.counts, more.counts), (self.links, more.links), (self.valid, more.valid))]
+        self.groups += more.groups
+        self.counts, self.links, self.valid = both
+        self.ends = np.cumsum(self.counts[:, 3])
+
 
 class Aligner:
     """Two vocabularies: a byte-level file of the tokenizers library and a sentencepiece model."""
@@ -79,11 +90,20 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)
         ]
+        numbers = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.shown, self.shown_first, self.shown_other = (np.array([f"{sign}{i}" for i in numbers], object) for sign in ",;|")
         self.wide_a, self.wide_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         plain = [p for i, p in enumerate(names) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
         self.by_words = self._byte_level() and self._plain_model(path_b) and not any(MARK in p.lstrip(MARK) for p in plain)
         self.by_marks = self.by_words and not any(PAIR.search(p) for p in plain)
 
+        self._forget()
+
+    def _forget(self):
+        """Start again without parts that are known."""
+        self._index, self._held = _numbered(), 0
+        self._known = Aligned(np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64), np.zeros(0, bool))
+
     def _byte_level(self) -> bool:
         """True if A cuts texts by the usual pattern and changes nothing before."""
         spec = json.loads(self.a.to_str())
@@ -158,8 +178,12 @@ class Aligner:
         if found is None:
             return None
         ids_a, ends_a, ids_b, ends_b = found
-        both = np.intersect1d(ends_a, ends_b)
-        if not (np.isin(ends, both).all() and np.isin(starts, np.append(both, 0)).all()):
+        # Marks at bytes spare sorting what is sorted: 1 where A ends a token, 3 where both do.
+        met = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        met[ends_a] = 1
+        met[ends_b] |= 2
+        both = np.flatnonzero(met == 3)
+        if not ((met[ends] == 3).all() and ((met[starts] == 3) | (starts == 0)).all()):
             raise ValueError("a token reaches beyond its segment")
         # The tokens of a B token's links follow one another.
         begins_b = ends_b - self.wide_b[ids_b]
@@ -172,13 +196,15 @@ class Aligner:
         (a0, a1), (b0, b1), (g0, g1) = place(ends_a), place(ends_b), place(both)
         total = np.append(0, total)
         l0, l1 = total[b0], total[b1]
-        cuts_a, cuts_b = (np.append(0, np.searchsorted(e, both, "right")).tolist() for e in (ends_a, ends_b))
-        text_a, text_b = ([*map(str, ids.tolist())] for ids in (ids_a, ids_b))
-        shown = [
-            ",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d])
-            for a, c, b, d in zip(cuts_a[:-1], cuts_a[1:], cuts_b[:-1], cuts_b[1:])
-        ]
-        groups = [";".join(shown[a:b]) for a, b in zip(g0.tolist(), g1.tolist())]
+        # The ids in the order of groups, A before B, each with the sign before it.
+        cuts_a, cuts_b = (np.append(0, np.searchsorted(e, both, "right")) for e in (ends_a, ends_b))
+        shown = np.empty(len(ids_a) + len(ids_b), object)
+        shown[np.arange(len(ids_a)) + np.repeat(cuts_b[:-1], np.diff(cuts_a))] = self.shown[ids_a]
+        shown[np.arange(len(ids_b)) + np.repeat(cuts_a[1:], np.diff(cuts_b))] = self.shown[ids_b]
+        shown[cuts_a[:-1] + cuts_b[:-1]] = self.shown_first[ids_a[cuts_a[:-1]]]
+        shown[cuts_a[1:] + cuts_b[:-1]] = self.shown_other[ids_b[cuts_b[:-1]]]
+        shown = shown.tolist()
+        groups = ["".join(shown[a:b])[1:] for a, b in zip((a0 + b0).tolist(), (a1 + b1).tolist())]
         keep = np.zeros(len(links) + 1, np.int64)
         np.add.at(keep, l0, 1)
         np.add.at(keep, l1, -1)
@@ -197,9 +223,14 @@ class Aligner:
         parts, chunk, size = [], [], 0
 
         def close():
-            shown = [s if s[:1] == " " else CARRIER + s for s in chunk]
-            ends = np.cumsum([len(s.encode()) for s in shown])
-            found = self._chunk("".join(shown)[1:], ends - [len(s.encode()) for s in chunk], ends) if len(chunk) > 1 else None
+            found = None
+            if len(chunk) > 1:
+                shown = [s if s[0] == " " else CARRIER + s for s in chunk]
+                text = "".join(shown)
+                wide = np.array([*map(len, shown if text.isascii() else map(str.encode, shown))], np.int64)
+                ends = np.cumsum(wide)
+                carried = np.array([s[0] != " " for s in chunk])
+                found = self._chunk(text[1:], ends - wide + len(CARRIER) * carried, ends)
             parts.extend([found] if found else map(self._alone, chunk))
 
         for segment in segments:
@@ -221,24 +252,38 @@ class Aligner:
                        np.concatenate([p.links for p in parts]), np.concatenate([p.valid for p in parts]))
 
     def align(self, words: list[str]) -> Aligned:
-        """Alignment of segments as `words` gives them, each by its parts between letters and marks."""
-        index: dict[str, int] = {}
-        of, sizes = array("l"), array("l")
+        """Alignment of segments as `words` gives them, each by its parts between letters and marks; parts of earlier calls are known."""
+        flat, sizes = [], array("l")
         for w in words:
-            parts = BETWEEN.split(" " + w) if self.by_marks and not w.isalpha() else [" " + w]
-            of.extend([index.setdefault(part, len(index)) for part in parts])
-            sizes.append(len(parts))
-        of, sizes = np.array(of, np.int64), np.array(sizes, np.int64)
-        small = self._small(list(index))
-        del index
+            if not self.by_marks or w.isalpha():
+                flat.append(" " + w)
+                sizes.append(1)
+            else:
+                parts = BETWEEN.split(" " + w)
+                flat += parts
+                sizes.append(len(parts))
+        if self._held > CACHED_BYTES:
+            self._forget()
+        known = len(self._index)
+        of, sizes = np.fromiter(map(self._index.__getitem__, flat), np.int64, len(flat)), np.array(sizes, np.int64)
+        del flat
+        new = list(islice(self._index, known, None))
+        self._held += ENTRY_BYTES * len(new) + CHARACTER_BYTES * sum(map(len, new))
+        self._known.add(self._small(new))
+        small = self._known
         after = np.cumsum(sizes)
         counts = _summed(small.counts[of], sizes)
         shown = [small.groups[i] for i in of.tolist()]
-        groups = [";".join(shown[a:b]) for a, b in zip((after - sizes).tolist(), after.tolist())]
+        groups = [shown[a] if b - a == 1 else ";".join(shown[a:b]) for a, b in zip((after - sizes).tolist(), after.tolist())]
         return Aligned(counts, groups, small.links[_stretches(small.ends[of] - small.counts[of, 3], small.counts[of, 3])],
                        _summed(~small.valid[of], sizes) == 0)
 
 
+def _numbered() -> defaultdict:
+    """A dictionary that gives every new key the next number."""
+    return defaultdict(count().__next__)
+
+
 def _pairs(spans) -> np.ndarray:
     """(begin, end) of spans."""
     return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
@@ -267,15 +312,25 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
 
 def _blocks(path_a: str, path_b: str):
     def run(batches):
+        # Lists of many spans and segments hold no cycles; looking for some takes a tenth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            yield from made(batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def made(batches):
         aligner = Aligner(path_a, path_b)
         first = TaskContext.get().partitionId() << 32
         for n, batch in enumerate(pieces(batches, "_text", BLOCK_BYTES)):
-            index: dict[str, int] = {}
+            index = _numbered()
             places = []
             for text in batch.column("_text"):
                 text = text.as_py()
-                found = [index.setdefault(w, len(index)) for w in aligner.words(text)] if text else []
-                places.append(np.array(found, np.uint32))
+                words = aligner.words(text) if text else []
+                places.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
             of = aligner.align(list(index))
             places = [p if of.valid[p].all() else p[:0] for p in places]
             # A segment that only texts without tokens have must not count.

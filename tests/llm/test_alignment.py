@@ -84,3 +84,24 @@ def test_odd_rows(spark, aligner):
     docs += [(3, "the "), (3, "the "), (5, "a ▁")]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     assert sorted(map(tuple, alignment.align_tokens(frame, *PATHS).collect())) == Plain(aligner).rows(docs)
+
+
+def test_parts_are_known_from_block_to_block(aligner, monkeypatch):
+    """A task aligns a part once, and again only after it has forgotten what it knew; results stay the same."""
+    asked, small = [], alignment.Aligner._small
+    monkeypatch.setattr(alignment.Aligner, "_small", lambda self, segments: asked.append(len(segments)) or small(self, segments))
+    blocks = [sorted({w for t in odd_texts(n) if t for w in aligner.words(t)}) for n in (50, 60, 50)]
+
+    def shown(own, words):
+        of = own.align(words)
+        return of.counts.tolist(), of.groups, of.links.tolist(), of.valid.tolist()
+
+    want = [shown(alignment.Aligner(*PATHS), words) for words in blocks]
+    alone, asked[:] = list(asked), []
+    keeps = alignment.Aligner(*PATHS)
+    assert [shown(keeps, words) for words in blocks] == want
+    assert asked[0] == alone[0] and 0 < asked[1] < alone[1] and asked[2] == 0
+    asked[:] = []
+    monkeypatch.setattr(alignment, "CACHED_BYTES", 0)
+    forgets = alignment.Aligner(*PATHS)
+    assert [shown(forgets, words) for words in blocks] == want and asked == alone
